@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.refs import require
 from ..functions.similarity import bigrams, collapsed_root, dice_of, edit_similarity
 from ..functions.text import upper_trim
+from ..scratch import write_out
 from .aggregate import distinct_values
 from .components import connected_components
 
@@ -35,9 +36,12 @@ _ROUNDING = 1e-9
 
 
 def text_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n): the distinct trimmed upper-case texts of each column with their counts."""
+    """(column, value, n): the distinct trimmed upper-case texts of each column with their counts.
+
+    Written out, because everything below reads it several times and the table only here.
+    """
     require(df, *columns)
-    return distinct_values(df, columns, clean=upper_trim)
+    return write_out(distinct_values(df, columns, clean=upper_trim), "values")
 
 
 def _ceil(c: Column) -> Column:
@@ -69,9 +73,9 @@ def _postings(values: DataFrame, dice: float | None, edit: float | None) -> Data
     rarity = tokens.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(F.count("*").alias("freq"))
     ranked = tokens.join(rarity, (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g")))
     sorted_grams = F.array_sort(F.collect_list(F.struct("freq", "gram")))
-    return ranked.groupBy("column", "value", "node", "repeats", "prefix").agg(
+    return write_out(ranked.groupBy("column", "value", "node", "repeats", "prefix").agg(
         F.transform(sorted_grams, lambda s: s["gram"]).alias("grams")
-    )
+    ), "postings")
 
 
 def _scored(

@@ -12,63 +12,63 @@ from ..scratch import write_out
 from .steps import StepRun, run_steps
 
 
-def _step(number: int, operation: str, params: Column, description: Column) -> list[Column]:
-    return [
-        F.lit(number).alias("rule"), F.lit(operation).alias("operation"),
-        F.to_json(params).alias("params"), description.alias("description"),
-    ]
+# The rules in the order their steps run, as (category, operation, one step for all
+# columns or one for each).
+_RULES = (
+    ("NULOS", "remover_colunas_vazias", "all"),
+    ("COLUNA_VAZIA", "remover_colunas_vazias", "all"),
+    ("DUPLICATAS", "remover_duplicatas", "all"),
+    ("FORMATO_ESPECIAL", "numero_interno", "all"),
+    ("VALOR_SUSPEITO", "substituir_valores", "each"),
+    ("TEXTO_ESPACO", "normalizar_texto", "all"),
+    ("FUZZY_MATCH", "unificar_valores", "each"),
+)
+
+
+def _params() -> dict[str, Column]:
+    """The parameters of each category's step, as JSON, from the group's columns and details."""
+    columns, details = F.col("columns"), F.col("details")
+    placeholders = F.map_keys(F.from_json(details["valores"], "map<string,bigint>"))
+    blanks = F.map_from_arrays(placeholders, F.transform(placeholders, lambda _: F.lit("")))
+    groups = F.from_json(details["grupos"], "map<string,array<string>>")
+    drop_empty = F.struct(F.lit(1.0).alias("limiar"))
+    structs = {
+        "NULOS": drop_empty,
+        "COLUNA_VAZIA": drop_empty,
+        "DUPLICATAS": F.struct(F.lit(True).alias("normalizar")),
+        "FORMATO_ESPECIAL": F.struct(columns.alias("colunas"), F.lit(2).alias("casas")),
+        "VALOR_SUSPEITO": F.struct(
+            columns.alias("colunas"), blanks.alias("mapeamento"), F.lit(True).alias("normalizar")),
+        "TEXTO_ESPACO": F.struct(columns.alias("colunas"), F.lit("upper").alias("modo")),
+        "FUZZY_MATCH": F.struct(columns[0].alias("coluna"), groups.alias("mapeamento")),
+    }
+    return {category: F.to_json(params) for category, params in structs.items()}
 
 
 def suggest_steps(issues: DataFrame) -> DataFrame:
     """Rows ``(rule, operation, params, description)``, in the order they should run.
 
-    Issues are as many as findings per column, so gathering a category's columns into one step
-    is of schema size.
+    One pass over the issues. There is one issue per finding and column, so gathering the columns
+    of a category is of schema size.
     """
-
-    def once(category: str, *step: Column) -> DataFrame:
-        return issues.where(F.col("category") == category).groupBy("category").agg(
-            F.array_sort(F.collect_set("column")).alias("columns")
-        ).select(*step)
-
-    def each(category: str, *step: Column) -> DataFrame:
-        return issues.where(F.col("category") == category).select(*step)
-
-    columns = F.concat_ws(", ", F.col("columns"))
-    placeholders = F.map_keys(F.from_json(F.col("details")["valores"], "map<string,bigint>"))
-    groups = F.from_json(F.col("details")["grupos"], "map<string,array<string>>")
-    parts = [
-        once("NULOS", *_step(
-            1, "remover_colunas_vazias", F.struct(F.lit(1.0).alias("limiar")),
-            F.lit("Remover colunas totalmente vazias"))),
-        once("COLUNA_VAZIA", *_step(
-            2, "remover_colunas_vazias", F.struct(F.lit(1.0).alias("limiar")),
-            F.lit("Remover colunas 100% vazias"))),
-        once("DUPLICATAS", *_step(
-            3, "remover_duplicatas", F.struct(F.lit(True).alias("normalizar")),
-            F.lit("Remover linhas duplicadas"))),
-        once("FORMATO_ESPECIAL", *_step(
-            4, "numero_interno", F.struct(F.col("columns").alias("colunas"), F.lit(2).alias("casas")),
-            F.concat(F.lit("Converter textos numericos para numero: "), columns))),
-        each("VALOR_SUSPEITO", *_step(
-            5, "substituir_valores",
-            F.struct(
-                F.array("column").alias("colunas"),
-                F.map_from_arrays(placeholders, F.transform(placeholders, lambda _: F.lit(""))).alias("mapeamento"),
-                F.lit(True).alias("normalizar"),
-            ),
-            F.concat(F.lit("Limpar valores suspeitos em: "), F.col("column")))),
-        once("TEXTO_ESPACO", *_step(
-            6, "normalizar_texto", F.struct(F.col("columns").alias("colunas"), F.lit("upper").alias("modo")),
-            F.concat(F.lit("Normalizar espacos e caixa em: "), columns))),
-        each("FUZZY_MATCH", *_step(
-            7, "unificar_valores", F.struct(F.col("column").alias("coluna"), groups.alias("mapeamento")),
-            F.concat(F.lit("Unificar valores similares em: "), F.col("column")))),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.orderBy("rule", "description")
+    category = F.col("category")
+    each = [c for c, _, kind in _RULES if kind == "each"]
+    groups = issues.where(category.isin([c for c, _, _ in _RULES])).groupBy(
+        "category", F.when(category.isin(each), F.col("column")).alias("only")
+    ).agg(
+        F.array_sort(F.collect_set("column")).alias("columns"),
+        F.max_by("details", "column").alias("details"),
+    )
+    rule, operation, params = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for number, (name, step, _) in enumerate(_RULES, 1):
+        rule = F.when(category == name, F.lit(number)).otherwise(rule)
+        operation = F.when(category == name, F.lit(step)).otherwise(operation)
+        params = F.when(category == name, _params()[name]).otherwise(params)
+    description = F.concat(category, F.lit(": "), F.concat_ws(", ", "columns"))
+    return groups.select(
+        rule.alias("rule"), operation.alias("operation"), params.alias("params"),
+        description.alias("description"),
+    ).orderBy("rule", "description")
 
 
 def as_steps(suggested: DataFrame) -> list[dict]:
