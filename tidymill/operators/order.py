@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.refs import col, cols, dtype, order_columns, require, sort_keys, unused_name
 from ..scratch import write_out
@@ -65,31 +63,19 @@ def global_row_index(
 def running_total(
     df: DataFrame, order_by: Sequence, weight: str, name: str = "before", partitions: int | None = None
 ) -> DataFrame:
-    """Add the sum of ``weight`` (whole numbers) over all rows before this one in the order."""
+    """Add the sum of ``weight`` (whole numbers) over all rows before this one in the order.
+
+    The order must tell the rows apart, as it does for counted values. The sums run inside each
+    range partition, so the window's groups are as even as the range partitions are.
+    """
     keys = sort_keys(order_by)
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     part, inside = unused_name(df.columns, "__part"), unused_name(df.columns, "__inside")
-    narrow = (
-        ranged.sortWithinPartitions(*keys)
-        .withColumn(part, F.spark_partition_id().cast("bigint"))
-        .withColumn(weight, col(weight).cast("bigint"))
+    rows_before = Window.partitionBy(part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn(part, F.spark_partition_id().cast("bigint")).withColumn(
+        inside, F.coalesce(F.sum(col(weight)).over(rows_before), F.lit(0)).cast("bigint")
     )
-    schema = T.StructType(narrow.schema.fields + [T.StructField(inside, T.LongType())])
-
-    def sum_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            weights = batch.column(batch.schema.get_field_index(weight)).cast(pa.int64())
-            upto = pc.add(pc.cumulative_sum(weights), total)
-            before = pc.subtract(upto, weights)
-            if len(upto):
-                total = upto[-1].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, before], names=[*batch.schema.names, inside]
-            )
-
-    placed = write_out(narrow.mapInArrow(sum_before, schema), "running-total")
-    return _add_bases(placed, part, F.sum(col(weight)), inside, name)
+    return _add_bases(write_out(placed, "running-total"), part, F.sum(col(weight)), inside, name)
 
 
 def value_ranks(df: DataFrame, column: str, value: str = "value", rank: str = "rank") -> DataFrame:
