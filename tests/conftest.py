@@ -9,10 +9,9 @@ from tidymill.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(8, "tidymill-tests", "4g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     yield session
     session.stop()
 

@@ -13,26 +13,26 @@ def bigrams(c: Column) -> Column:
     return F.when(F.char_length(c) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def dice_of(a: Column, b: Column, a_bigrams: Column, b_bigrams: Column) -> Column:
-    """``bigram_similarity`` for bigram arrays that are at hand already."""
-    shared = F.size(F.filter(a_bigrams, lambda x: F.array_contains(b_bigrams, x)))
-    score = F.lit(2.0) * shared / (F.size(a_bigrams) + F.size(b_bigrams))
-    contained = F.when(F.contains(a, b) | F.contains(b, a), F.lit(1.0)).otherwise(F.lit(0.0))
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(0.0))
-        .when((F.size(a_bigrams) == 0) | (F.size(b_bigrams) == 0), contained)
-        .otherwise(F.least(F.lit(1.0), score))
-    )
-
-
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Share of bigrams of ``a`` that occur in ``b``, doubled, over both bigram counts.
 
     Repeats count on ``a`` only, so the score is not symmetric; callers put the smaller text
     first. It is held to 1.0. A text under two characters scores 1.0 when contained, else 0.
     """
-    return dice_of(a, b, bigrams(a), bigrams(b))
+
+    def score(p: Column) -> Column:
+        shared = F.size(F.filter(p["ga"], lambda x: F.array_contains(p["gb"], x)))
+        return F.least(F.lit(1.0), F.lit(2.0) * shared / (F.size(p["ga"]) + F.size(p["gb"])))
+
+    # transform over one struct binds the two arrays, so that they are built once per pair
+    both = F.array(F.struct(bigrams(a).alias("ga"), bigrams(b).alias("gb")))
+    contained = F.when(F.contains(a, b) | F.contains(b, a), F.lit(1.0)).otherwise(F.lit(0.0))
+    return (
+        F.when(a == b, F.lit(1.0))
+        .when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(0.0))
+        .when((F.char_length(a) < 2) | (F.char_length(b) < 2), contained)
+        .otherwise(F.transform(both, score)[0])
+    )
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

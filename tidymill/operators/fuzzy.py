@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.refs import require
-from ..functions.similarity import bigrams, collapsed_root, dice_of, edit_similarity
+from ..functions.similarity import bigram_similarity, bigrams, collapsed_root, edit_similarity
 from ..functions.text import upper_trim
 from ..scratch import write_out
 from .aggregate import distinct_values
@@ -91,7 +91,7 @@ def _scored(
 
     rare = F.slice("grams", F.lit(1), F.greatest(F.col("prefix"), F.lit(0)))
     a, b = F.col("value_a"), F.col("value_b")
-    share = F.lit(0.0) if dice is None else dice_of(a, b, bigrams(a), bigrams(b))
+    share = F.lit(0.0) if dice is None else bigram_similarity(a, b)
     score = F.greatest(share, edit_similarity(a, b)) if edit is not None else share
     first_shared = F.element_at(F.array_intersect("grams_a", "grams_b"), 1) == F.col("gram_a")
     matched = (
@@ -105,9 +105,12 @@ def _scored(
     if dice is not None:
         joins.append(left.where("repeats_a > 0").join(side("b", F.col("grams")), matched))
     pairs = joins[0] if len(joins) == 1 else joins[0].unionByName(joins[1])
-    return pairs.withColumn("score", score).where(F.col("score") >= F.lit(min_score)).select(
-        F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", "score"
+    # A filter on a computed column would be moved into the join and compute it twice; as an array
+    # of one row it is computed once.
+    scored = F.array(
+        F.struct(F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", score.alias("score"))
     )
+    return pairs.select(F.inline(F.filter(scored, lambda p: p["score"] >= F.lit(min_score))))
 
 
 def similar_pairs(values: DataFrame, min_score: float) -> DataFrame:
