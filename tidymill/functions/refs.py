@@ -74,6 +74,31 @@ def sort_keys(order_by: Sequence, reverse: bool = False) -> list[Column]:
     return keys
 
 
+def tie_break(df: DataFrame, named: Iterable[str]) -> Column | None:
+    """A hash of all columns not ``named``, to order rows that the named ones leave equal.
+
+    It makes positions repeatable and lets a range shuffle split a value that many rows share.
+    A hash, because range boundaries are sampled on the driver and the columns may hold long text.
+    """
+    named = set(named)
+    rest = [f.name for f in df.schema.fields if f.name not in named and not _holds_map(f.dataType)]
+    return F.xxhash64(*cols(rest)) if rest else None
+
+
+def _holds_map(data_type: T.DataType) -> bool:
+    return "map<" in data_type.simpleString() or "variant" in data_type.simpleString()
+
+
+def total_order(df: DataFrame, order_by: Sequence, reverse: bool = False) -> list[Column]:
+    """The sort keys with a tie-break, or the exact opposite order."""
+    names = [name for name, _ in order_columns(order_by)]
+    require(df, *names)
+    keys, ties = sort_keys(order_by, reverse), tie_break(df, names)
+    if ties is not None:
+        keys.append(ties.desc() if reverse else ties.asc())
+    return keys
+
+
 def order_struct(order_by: Sequence) -> Column:
     """The order keys as one comparable value, for ``min_by`` and ``max_by`` (ascending only)."""
     keys = order_columns(order_by)

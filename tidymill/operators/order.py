@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.refs import col, cols, dtype, order_columns, require, sort_keys, unused_name
+from ..functions.refs import col, cols, dtype, order_columns, require, sort_keys, total_order, unused_name
 from ..scratch import write_out
 
 # A top-k keeps k rows in every task and on the driver, so it is used for small k only.
@@ -38,15 +38,14 @@ def _add_bases(placed: DataFrame, part: str, size, inside: str, name: str) -> Da
 def global_row_index(
     df: DataFrame, order_by: Sequence, name: str = "row_index", partitions: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in the given total order.
+    """Add the 0-based position of each row in the given order; ties go by a hash of the row.
 
     The rows are range-partitioned and sorted by the order keys, numbered inside their
     partition, and written out once; only the partition sizes are summed up on the driver.
     The write matters: range boundaries are sampled anew by every job, so counting in one job
     and numbering in another would not fit together.
     """
-    require(df, *[k for k, _ in order_columns(order_by)])
-    keys = sort_keys(order_by)
+    keys = total_order(df, order_by)
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     part, inside = unused_name(df.columns, "__part"), unused_name(df.columns, "__inside")
     row_id = unused_name(df.columns, "__row_id")
@@ -101,25 +100,17 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
 
 
 def sort_rows(
-    df: DataFrame, columns: Sequence[str], ascending: bool = True, tie_break: Sequence | None = None
+    df: DataFrame, columns: Sequence[str], ascending: bool = True, ties_by: Sequence | None = None
 ) -> DataFrame:
     """Sort by all columns in one direction, nulls last; columns the table lacks are ignored.
 
-    Ties are broken by ``tie_break``, or else by all other columns that can be ordered. That
-    makes the order repeatable, and lets the range shuffle split a value many rows share.
+    Rows that are equal there are ordered by ``ties_by``, or else by a hash of their other columns.
     """
     names = [c for c in dict.fromkeys(columns) if c in df.columns]
     if not names:
         return df
-    keys = sort_keys([(c, "asc" if ascending else "desc") for c in names])
-    if tie_break is None:
-        tie_break = [
-            f.name for f in df.schema.fields
-            if f.name not in names and isinstance(f.dataType, T.AtomicType)
-        ]
-    if tie_break:
-        keys += sort_keys(tie_break)
-    return df.orderBy(*keys)
+    order_by = [(c, "asc" if ascending else "desc") for c in names]
+    return df.orderBy(*total_order(df, [*order_by, *(ties_by or [])]))
 
 
 def _by_position(df: DataFrame, order_by: Sequence, keep) -> DataFrame:
@@ -130,15 +121,15 @@ def _by_position(df: DataFrame, order_by: Sequence, keep) -> DataFrame:
 
 def keep_first_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
     if n <= TOP_K_LIMIT:
-        return df.orderBy(*sort_keys(order_by)).limit(max(n, 0))
+        return df.orderBy(*total_order(df, order_by)).limit(max(n, 0))
     return _by_position(df, order_by, lambda p: p < n)
 
 
 def keep_last_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
     """The last ``n`` rows, in the original order."""
     if n <= TOP_K_LIMIT:
-        last = df.orderBy(*sort_keys(order_by, reverse=True)).limit(max(n, 0))
-        return last.orderBy(*sort_keys(order_by))
+        last = df.orderBy(*total_order(df, order_by, reverse=True)).limit(max(n, 0))
+        return last.orderBy(*total_order(df, order_by))
     total = df.count()
     return _by_position(df, order_by, lambda p: p >= total - n)
 
@@ -150,7 +141,7 @@ def index_at(df: DataFrame, column: str, position: int, order_by: Sequence, name
     if position < 1:
         found = narrow.limit(0)
     elif position <= TOP_K_LIMIT:
-        found = narrow.orderBy(*sort_keys(order_by)).offset(position - 1).limit(1)
+        found = narrow.orderBy(*total_order(narrow, order_by)).offset(position - 1).limit(1)
     else:
         found = _by_position(narrow, order_by, lambda p: p == position - 1)
     return found.agg(F.max(col(column)).alias(name)) if isinstance(

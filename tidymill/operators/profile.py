@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numbers import to_number
 from ..functions.refs import col, is_float, is_number, is_text, text_columns
-from ..functions.text import trim_ws, upper_trim
+from ..functions.text import WHITE_SPACE, trim_ws, upper_trim
+from ..scratch import write_out
 from .aggregate import distinct_values
 from .clean import null_counts
 from .dedup import count_duplicate_rows
@@ -33,11 +34,9 @@ PLACEHOLDERS = (
 )
 
 # Patterns of numbers written as text.
-DOT_DECIMAL = r"^-?[0-9]+\.[0-9]{1,6}$"
-COMMA_DECIMAL = r"^-?[0-9]+,[0-9]{1,6}$"
-WHOLE_NUMBER = r"^-?[0-9]+$"
 ANY_NUMBER = r"^-?[0-9]+([.,][0-9]+)?$"
 THOUSANDS_COMMA = r"^[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$"
+MOST_DECIMALS = 6
 UNNAMED = r"^(Unnamed|_c[0-9]+$)"
 
 ALL_COLUMNS = "(todas as colunas)"
@@ -48,76 +47,92 @@ ISSUE_SCHEMA = (
 )
 
 
-def _text_metrics(df: DataFrame) -> DataFrame | None:
-    names = text_columns(df)
-    if not names:
-        return None
-    pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("raw")) for c in names]
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("raw").isNotNull())
-    long = long.withColumn("t", trim_ws(F.col("raw")))
-    raw, t = F.col("raw"), F.col("t")
-    numeric = t.rlike(ANY_NUMBER)
-    dot = t.rlike(DOT_DECIMAL)
-    return long.groupBy(F.col("column").alias("__c")).agg(
-        F.count_if(dot).alias("n_dot"),
-        F.count_if(t.rlike(COMMA_DECIMAL)).alias("n_comma"),
-        F.count_if(t.rlike(WHOLE_NUMBER)).alias("n_whole_text"),
+def _text_long(df: DataFrame) -> DataFrame:
+    """(column, raw, n) with one row per non-null text cell."""
+    pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("raw")) for c in text_columns(df)]
+    return df.select(F.inline(F.array(*pairs))).where(F.col("raw").isNotNull()).withColumn("n", F.lit(1))
+
+
+def _number_long(df: DataFrame) -> DataFrame:
+    """(column, x, digits, n) with one row per number cell; digits for whole-number types only."""
+    pairs = []
+    for f in df.schema.fields:
+        if is_number(f.dataType):
+            whole_type = isinstance(f.dataType, T.IntegralType)
+            digits = F.char_length(col(f.name).cast("string")) if whole_type else F.lit(None).cast("int")
+            x = to_number(col(f.name), f.dataType)
+            pairs.append(F.struct(F.lit(f.name).alias("column"), x.alias("x"), digits.alias("digits")))
+    return df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull()).withColumn("n", F.lit(1))
+
+
+def _weight(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+
+
+def _text_metrics(long: DataFrame) -> DataFrame:
+    raw, t, numeric, decimals = F.col("raw"), F.col("t"), F.col("numeric"), F.col("decimals")
+    mark = lambda c: F.contains(t, F.lit(c))
+    cells = long.withColumn("t", trim_ws(raw)).withColumn("numeric", t.rlike(ANY_NUMBER)).withColumn(
+        "decimals", F.when(numeric & (mark(".") | mark(",")), F.char_length(t) - F.greatest(
+            F.instr(t, "."), F.instr(t, ",")))
+    )
+    few = decimals <= MOST_DECIMALS
+    thousands = F.contains(raw, F.lit(".")) & F.contains(raw, F.lit(",")) & raw.rlike(THOUSANDS_COMMA)
+    return cells.groupBy(F.col("column").alias("__c")).agg(
+        _weight(few & mark(".")).alias("n_dot"),
+        _weight(few & mark(",")).alias("n_comma"),
+        _weight(numeric & decimals.isNull()).alias("n_whole_text"),
         # one to six digits after the dot, so this set has six members at most
-        F.array_sort(
-            F.collect_set(F.when(dot, F.char_length(F.substring_index(t, ".", -1))))
-        ).alias("places"),
-        F.count_if(F.contains(raw, F.lit("R$"))).alias("n_currency"),
-        F.count_if(F.contains(raw, F.lit("%"))).alias("n_percent"),
-        F.count_if(raw.rlike(THOUSANDS_COMMA)).alias("n_thousands"),
-        F.count_if(numeric).alias("n_numeric"),
+        F.array_sort(F.collect_set(F.when(few & mark("."), decimals))).alias("places"),
+        _weight(F.contains(raw, F.lit("R$"))).alias("n_currency"),
+        _weight(F.contains(raw, F.lit("%"))).alias("n_percent"),
+        _weight(thousands).alias("n_thousands"),
+        _weight(numeric).alias("n_numeric"),
         F.min(F.when(numeric, t)).alias("numeric_min"),
         F.max(F.when(numeric, t)).alias("numeric_max"),
         F.min(F.when(~numeric, t)).alias("other_min"),
         F.max(F.when(~numeric, t)).alias("other_max"),
-        F.count_if(raw.rlike(r"(?U)^\s")).alias("n_leading"),
-        F.count_if(raw.rlike(r"(?U)\s$")).alias("n_trailing"),
-        F.count_if(t.rlike(r"(?U)\s{2,}")).alias("n_inner"),
-        F.count_if(t == F.upper(t)).alias("n_upper"),
-        F.count_if(t == F.lower(t)).alias("n_lower"),
-        F.count_if(t == F.initcap(t)).alias("n_title"),
+        _weight(raw != F.ltrim(raw, F.lit(WHITE_SPACE))).alias("n_leading"),
+        _weight(raw != F.rtrim(raw, F.lit(WHITE_SPACE))).alias("n_trailing"),
+        _weight(t.rlike(r"(?U)\s{2,}")).alias("n_inner"),
+        _weight(t == F.upper(t)).alias("n_upper"),
+        _weight(t == F.lower(t)).alias("n_lower"),
+        _weight(t == F.initcap(t)).alias("n_title"),
     )
 
 
-def _number_metrics(df: DataFrame) -> DataFrame | None:
-    fields = [f for f in df.schema.fields if is_number(f.dataType)]
-    if not fields:
-        return None
-    pairs = []
-    for f in fields:
-        whole_type = isinstance(f.dataType, T.IntegralType)
-        digits = F.char_length(col(f.name).cast("string")) if whole_type else F.lit(None).cast("int")
-        pairs.append(
-            F.struct(
-                F.lit(f.name).alias("column"), digits.alias("digits"),
-                to_number(col(f.name), f.dataType).alias("x"),
-            )
-        )
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull())
+def _number_metrics(long: DataFrame) -> DataFrame:
+    weight = F.when(F.col("digits").isNotNull(), F.col("n"))
     return long.groupBy(F.col("column").alias("__c")).agg(
-        F.avg("digits").alias("mean_digits"),
-        F.count_if(F.col("x") == F.floor("x")).alias("n_whole"),
+        F.try_divide(F.sum(F.col("digits") * F.col("n")), F.sum(weight)).alias("mean_digits"),
+        _weight(F.col("x") == F.floor("x")).alias("n_whole"),
     )
 
 
+def _family(data_type: T.DataType) -> str:
+    if is_text(data_type):
+        return "text"
+    if isinstance(data_type, T.IntegralType):
+        return "int"
+    return "float" if is_number(data_type) else "other"
+
+
+def _with_parts(metrics: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
+    for part in parts:
+        metrics = metrics.join(part, F.col("column") == F.col("__c"), "left").drop("__c")
+    return metrics
+
+
 def column_metrics(
     df: DataFrame, text: bool = False, number: bool = False, distinct: bool = False, approx: bool = False
 ) -> DataFrame:
     """One row per column; the optional parts are joined on by column name, so only the parts
     asked for are computed."""
     rows = []
-    for i, f in enumerate(df.schema.fields):
+    for f in df.schema.fields:
         value = to_number(col(f.name), f.dataType) if is_float(f.dataType) else col(f.name)
-        family = (
-            "text" if is_text(f.dataType) else "int" if isinstance(f.dataType, T.IntegralType)
-            else "float" if is_number(f.dataType) else "other"
-        )
         parts = [
-            F.lit(i).alias("place"), F.lit(f.name).alias("column"), F.lit(family).alias("family"),
+            F.lit(f.name).alias("column"), F.lit(_family(f.dataType)).alias("family"),
             F.count("*").alias("rows"), F.count_if(value.isNull()).alias("nulls"),
         ]
         if distinct and approx:
@@ -126,19 +141,46 @@ def column_metrics(
     metrics = df.agg(F.array(*rows).alias("m")).select(F.inline("m"))
     metrics = metrics.withColumn("filled", F.col("rows") - F.col("nulls"))
     extra = []
-    if text:
-        extra.append(_text_metrics(df))
-    if number:
-        extra.append(_number_metrics(df))
+    if text and text_columns(df):
+        extra.append(_text_metrics(_text_long(df)))
+    if number and has_numbers(df):
+        extra.append(_number_metrics(_number_long(df)))
     if distinct and not approx:
-        extra.append(
-            distinct_values(df, df.columns).groupBy(F.col("column").alias("__c"))
-            .agg(F.count("*").alias("n_distinct"))
-        )
-    for part in extra:
-        if part is not None:
-            metrics = metrics.join(part, F.col("column") == F.col("__c"), "left").drop("__c")
-    return metrics
+        counts = distinct_values(df, df.columns).groupBy(F.col("column").alias("__c"))
+        extra.append(counts.agg(F.count("*").alias("n_distinct")))
+    return _with_parts(metrics, extra)
+
+
+def metrics_from_values(df: DataFrame, values: DataFrame) -> DataFrame:
+    """All metrics from the counted values of all columns, so each pattern is tried once per
+    distinct value rather than once per row."""
+    families = F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(_family(f.dataType)).alias("family"))
+        for f in df.schema.fields
+    ])
+    base = df.agg(F.count("*").alias("rows")).select("rows", F.inline(families))
+    counts = values.groupBy(F.col("column").alias("__c")).agg(
+        F.sum("n").alias("__filled"), F.count("*").alias("n_distinct"))
+    metrics = _with_parts(base, [counts]).withColumn("filled", F.coalesce("__filled", F.lit(0)))
+    metrics = metrics.withColumn("nulls", F.col("rows") - F.col("filled")).drop("__filled")
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        kinds.setdefault(_family(f.dataType), []).append(f.name)
+    parts = []
+    if "text" in kinds:
+        texts = values.where(F.col("column").isin(kinds["text"]))
+        parts.append(_text_metrics(texts.withColumnRenamed("value", "raw")))
+    if "int" in kinds or "float" in kinds:
+        whole = F.col("column").isin(kinds.get("int", []))
+        numbers = values.where(F.col("column").isin(kinds.get("int", []) + kinds.get("float", [])))
+        parts.append(_number_metrics(numbers.select(
+            "column", F.col("value").cast("double").alias("x"),
+            F.when(whole, F.char_length("value")).alias("digits"), "n")))
+    return _with_parts(metrics, parts)
+
+
+def has_numbers(df: DataFrame) -> bool:
+    return any(is_number(f.dataType) for f in df.schema.fields)
 
 
 def _issue(category: str, severity, n: Column, pct: Column, column: Column | None = None, **details) -> Column:
@@ -332,9 +374,9 @@ def profile_text_as_number(df: DataFrame) -> DataFrame:
 
 
 def profile_number_as_text(df: DataFrame, approx: bool = False) -> DataFrame:
-    numbers = [f.name for f in df.schema.fields if is_number(f.dataType)]
-    if not numbers:
+    if not has_numbers(df):
         return _no_issues(df)
+    numbers = [f.name for f in df.schema.fields if is_number(f.dataType)]
     only = df.select(*[col(c) for c in numbers])
     return _issues(column_metrics(only, number=True, distinct=True, approx=approx), [number_as_text_rule])
 
@@ -362,19 +404,18 @@ def profile_row_duplicates(df: DataFrame) -> DataFrame:
     return totals.where("n > 0").select(F.inline(F.array(issue)))
 
 
+_PLACEHOLDER_LIST = sorted({p.upper() for p in PLACEHOLDERS})
+
+
 def placeholder_counts(df: DataFrame) -> DataFrame:
     """(column, value, n) of the placeholder texts; all others are filtered out before counting."""
-    names = text_columns(df)
-    pairs = [F.struct(F.lit(c).alias("column"), upper_trim(col(c)).alias("value")) for c in names]
-    wanted = sorted({p.upper() for p in PLACEHOLDERS})
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isin(wanted))
+    pairs = [F.struct(F.lit(c).alias("column"), upper_trim(col(c)).alias("value")) for c in text_columns(df)]
+    long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isin(_PLACEHOLDER_LIST))
     return long.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def profile_placeholder_values(df: DataFrame) -> DataFrame:
-    if not text_columns(df):
-        return _no_issues(df)
-    per_column = placeholder_counts(df).groupBy("column").agg(
+def _placeholder_issues(counts: DataFrame) -> DataFrame:
+    per_column = counts.groupBy("column").agg(
         F.sum("n").alias("n"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("found"),
     )
@@ -385,6 +426,10 @@ def profile_placeholder_values(df: DataFrame) -> DataFrame:
     return per_column.select(F.inline(F.array(issue)))
 
 
+def profile_placeholder_values(df: DataFrame) -> DataFrame:
+    return _placeholder_issues(placeholder_counts(df)) if text_columns(df) else _no_issues(df)
+
+
 def fuzzy_column_groups(
     df: DataFrame, max_distinct: int | None = 1000, min_score: float = 0.72, use_prefix: bool = True
 ) -> DataFrame:
@@ -393,7 +438,12 @@ def fuzzy_column_groups(
     A column with more than ``max_distinct`` values is free text rather than a list of terms and
     is left out as a whole; None takes every column. All values of a column are compared.
     """
-    values = text_values(df, text_columns(df))
+    return _similar_in_columns(text_values(df, text_columns(df)), max_distinct, min_score, use_prefix)
+
+
+def _similar_in_columns(
+    values: DataFrame, max_distinct: int | None, min_score: float, use_prefix: bool
+) -> DataFrame:
     sizes = values.groupBy(F.col("column").alias("c")).agg(F.count("*").alias("size"))
     fitting = sizes.where((F.col("size") >= 2) & (F.lit(max_distinct is None) | (F.col("size") <= (max_distinct or 0))))
     chosen = values.join(fitting, F.col("column") == F.col("c"), "left_semi")
@@ -405,7 +455,10 @@ def profile_fuzzy_groups(
 ) -> DataFrame:
     if not text_columns(df):
         return _no_issues(df)
-    members = fuzzy_column_groups(df, max_distinct, min_score, use_prefix)
+    return _fuzzy_issues(fuzzy_column_groups(df, max_distinct, min_score, use_prefix))
+
+
+def _fuzzy_issues(members: DataFrame) -> DataFrame:
     groups = members.groupBy("column", "canonical").agg(
         F.array_sort(F.collect_list("variant")).alias("variants"), F.sum("n").alias("n")
     )
@@ -442,18 +495,34 @@ def severity_rank(severity: Column) -> Column:
 def scan_table(
     df: DataFrame, approx: bool = False, fuzzy: bool = True, max_distinct: int | None = 1000
 ) -> DataFrame:
-    """All checks, the most severe issues first. ``approx`` estimates the distinct counts."""
-    has_text = bool(text_columns(df))
-    has_number = any(is_number(f.dataType) for f in df.schema.fields)
+    """All checks, the most severe issues first.
+
+    One pass counts the values of all columns and one counts equal rows; the other checks work on
+    the counted values. ``approx`` estimates distinct counts instead, which spares the shuffle of
+    columns with many values but reads the table once more for each group of checks.
+    """
+    texts, numbers = text_columns(df), has_numbers(df)
     rules = [
         r for r in _METRIC_RULES
-        if (has_text or r not in _TEXT_RULES) and (has_number or r is not number_as_text_rule)
+        if (texts or r not in _TEXT_RULES) and (numbers or r is not number_as_text_rule)
     ]
-    metrics = column_metrics(df, text=has_text, number=has_number, distinct=True, approx=approx)
-    issues = _issues(metrics, rules)
-    issues = issues.unionByName(profile_row_duplicates(df)).unionByName(profile_placeholder_values(df))
-    if fuzzy:
-        issues = issues.unionByName(profile_fuzzy_groups(df, max_distinct))
+    if approx:
+        metrics = column_metrics(df, text=True, number=True, distinct=True, approx=True)
+        counted = placeholder_counts(df) if texts else None
+        spellings = text_values(df, texts) if texts and fuzzy else None
+    else:
+        values = write_out(distinct_values(df, df.columns), "scan-values")
+        metrics = metrics_from_values(df, values)
+        cleaned = values.where(F.col("column").isin(texts)).groupBy(
+            "column", upper_trim(F.col("value")).alias("value")
+        ).agg(F.sum("n").alias("n"))
+        counted = cleaned.where(F.col("value").isin(_PLACEHOLDER_LIST))
+        spellings = write_out(cleaned, "values") if texts and fuzzy else None
+    issues = _issues(metrics, rules).unionByName(profile_row_duplicates(df))
+    if texts:
+        issues = issues.unionByName(_placeholder_issues(counted))
+    if spellings is not None:
+        issues = issues.unionByName(_fuzzy_issues(_similar_in_columns(spellings, max_distinct, 0.72, True)))
     return issues.orderBy(severity_rank(F.col("severity")).desc(), "category", "column")
 
 

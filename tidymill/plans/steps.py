@@ -6,14 +6,19 @@ The run folds the steps into one lazy plan. Steps that need a bounded fact of th
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from threading import Thread
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..operators import aggregate, clean, columns, correlation, dedup, fuzzy, lookup, order
 
 
+HISTORY_WAIT_SECONDS = 10
+
+
 @dataclass
 class StepResult:
     """``value`` holds the answer of a step that asks something and leaves the table alone."""
@@ -150,12 +155,14 @@ class StepRun:
         """Rows and columns before and after each step, as counted by the action that ran last.
 
         The counts are gathered while the rows pass by, so this needs one action on ``table``
-        (its write, or a count) and none of its own.
+        (its write, or a count) and none of its own. A count is null where that action had no
+        need to compute the rows.
         """
         rows, before = [], None
-        for number, (operation, seen, old, new) in enumerate(self._seen):
-            after = seen.get["rows"]
-            if before is not None:
+        counts = _counted([seen for _, seen, _, _ in self._seen])
+        for number, (operation, _, old, new) in enumerate(self._seen):
+            after = counts[number]
+            if number:
                 added = [c for c in new if c not in old]
                 removed = [c for c in old if c not in new]
                 rows.append((number, operation, before, after, len(old), len(new), added, removed))
@@ -167,6 +174,23 @@ class StepRun:
         )
 
 
+def _counted(observations: Sequence[Observation]) -> list[int | None]:
+    """The observed row counts. ``Observation.get`` waits for ever for a point that the action had
+    no need to compute, so it is asked on the side and given up after a while."""
+    counts: list[int | None] = [None] * len(observations)
+
+    def ask(i: int) -> None:
+        counts[i] = observations[i].get["rows"]
+
+    threads = [Thread(target=ask, args=(i,), daemon=True) for i in range(len(observations))]
+    for thread in threads:
+        thread.start()
+    deadline = time.monotonic() + HISTORY_WAIT_SECONDS
+    for thread in threads:
+        thread.join(max(0.0, deadline - time.monotonic()))
+    return counts
+
+
 def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     seen = Observation()
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
