@@ -13,6 +13,17 @@ def bigrams(c: Column) -> Column:
     return F.when(F.char_length(c) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
+def bigram_codes(c: Column) -> Column:
+    """The bigrams as whole numbers, both characters' code points side by side."""
+    points = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("bigint"))
+    n = F.size(points)
+    codes = F.zip_with(
+        F.slice(points, F.lit(1), n - 1), F.slice(points, F.lit(2), n - 1),
+        lambda x, y: x * F.lit(1 << 21) + y,
+    )
+    return F.when(F.char_length(c) >= 2, codes).otherwise(F.array().cast("array<bigint>"))
+
+
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Share of bigrams of ``a`` that occur in ``b``, doubled, over both bigram counts.
 

@@ -22,16 +22,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.refs import require
-from ..functions.similarity import bigram_similarity, bigrams, collapsed_root, edit_similarity
+from ..functions.similarity import bigram_codes, bigram_similarity, collapsed_root, edit_similarity
 from ..functions.text import upper_trim
 from ..scratch import write_out
 from .aggregate import distinct_values
 from .components import connected_components
+from .order import global_row_index, running_total
 
 # The score of an equal collapsed root and of 2, 3 or 4 equal first characters.
 ROOT_SCORE = 0.95
 PREFIX_SCORES = {2: 0.75, 3: 0.80, 4: 0.85}
 
+# Values of one bigram that one join key holds at most.
+BLOCK_VALUES = 2000
+
+# Mean length of runs from which on their first values are chained again.
+LONG_RUN = 4
+
 _ROUNDING = 1e-9
 
 
@@ -62,55 +69,107 @@ def _least_shared(dice: float | None, edit: float | None) -> Column:
     return F.greatest(F.lit(1), lowest).cast("int")
 
 
-def _postings(values: DataFrame, dice: float | None, edit: float | None) -> DataFrame:
-    """One row per value with its bigrams from rare to common, and the length of the prefix."""
-    grams = bigrams(F.col("value"))
-    sized = values.withColumn("distinct", F.array_distinct(grams)).withColumns(
-        {"total": F.size(grams), "repeats": F.size(grams) - F.size("distinct")}
-    ).where("total > 0")
-    sized = sized.withColumn("prefix", F.size("distinct") - _least_shared(dice, edit) + 1)
-    tokens = sized.select("column", "value", "node", "repeats", "prefix", F.explode("distinct").alias("gram"))
-    rarity = tokens.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(F.count("*").alias("freq"))
+def _postings(values: DataFrame, dice: float | None, edit: float | None, other_nodes: bool) -> DataFrame:
+    """One row per value: its bigrams from rare to common, and those to look for partners by.
+
+    A bigram of one value only, or with ``other_nodes`` of one node only, leads to no partner.
+    """
+    sized = values.withColumn("bag", bigram_codes(F.col("value"))).withColumn("distinct", F.array_distinct("bag"))
+    sized = sized.withColumns({"total": F.size("bag"), "repeats": F.size("bag") - F.size("distinct")})
+    sized = sized.where("total > 0").withColumn("prefix", F.size("distinct") - _least_shared(dice, edit) + 1)
+    carried = ["column", "value", "node", "total", "repeats", "prefix"]
+    tokens = sized.select(*carried, F.explode("distinct").alias("gram"))
+    rarity = tokens.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(
+        F.count("*").alias("freq"), F.min("node").alias("least"), F.max("node").alias("most")
+    )
+    useful = (F.col("least") != F.col("most")) if other_nodes else (F.col("freq") > 1)
+    rarity = rarity.select("c", "g", "freq", useful.alias("useful"))
     ranked = tokens.join(rarity, (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g")))
-    sorted_grams = F.array_sort(F.collect_list(F.struct("freq", "gram")))
-    return write_out(ranked.groupBy("column", "value", "node", "repeats", "prefix").agg(
-        F.transform(sorted_grams, lambda s: s["gram"]).alias("grams")
-    ), "postings")
+    listed = ranked.groupBy(*carried).agg(
+        F.array_sort(F.collect_list(F.struct("freq", "gram", "useful"))).alias("listed")
+    )
+
+    def grams_of(entries: Column) -> Column:
+        return F.transform(F.filter(entries, lambda s: s["useful"]), lambda s: s["gram"])
+
+    rare = F.slice("listed", F.lit(1), F.greatest(F.col("prefix"), F.lit(0)))
+    postings = listed.select(
+        "column", "value", "node", "total", "repeats",
+        F.when(F.col("repeats") > 0, bigram_codes(F.col("value"))).alias("bag"),
+        F.transform("listed", lambda s: s["gram"]).alias("grams"),
+        grams_of(rare).alias("rare"), grams_of(F.col("listed")).alias("every"),
+    )
+    return write_out(postings, "postings")
+
+
+def _score(a: Column, b: Column, dice: float | None, edit: float | None) -> Column:
+    share = F.lit(0.0) if dice is None else bigram_similarity(a, b)
+    return F.greatest(share, edit_similarity(a, b)) if edit is not None else share
+
+
+def _in_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut the postings of a hot bigram into blocks and pair every block with every other.
+
+    Each pair of blocks is a join key of its own, so no task compares more than a block squared.
+    The bigrams this takes are few; they are joined on by their measured size.
+    """
+    hot = b.groupBy(F.col("column_b").alias("c"), F.col("gram_b").alias("g")).agg(F.count("*").alias("m"))
+    hot = hot.where(F.col("m") > BLOCK_VALUES).select("c", "g", F.ceil(F.col("m") / BLOCK_VALUES).alias("blocks"))
+
+    def cut(side: DataFrame, s: str, own: str, other: str) -> DataFrame:
+        same = (F.col(f"column_{s}") == F.col("c")) & (F.col(f"gram_{s}") == F.col("g"))
+        blocks = F.coalesce("blocks", F.lit(1))
+        return side.join(hot, same, "left").withColumns({
+            f"{own}_{s}": F.pmod(F.xxhash64(f"value_{s}"), blocks),
+        }).withColumn(f"{other}_{s}", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("c", "g", "blocks")
+
+    return cut(a, "a", "row", "col"), cut(b, "b", "col", "row")
 
 
 def _scored(
-    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, plain_only: bool,
-    other_nodes: bool,
+    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, other_nodes: bool
 ) -> DataFrame:
-    """Pairs ``a < b`` at or above the score. A pair is emitted at its first shared bigram only."""
-    keys = ("column", "value", "node", "repeats")
+    """Pairs ``a < b`` at or above the score, each emitted at its rarest shared bigram only.
 
-    def side(name: str, grams: Column) -> DataFrame:
-        kept = postings.select(*[F.col(k).alias(f"{k}_{name}") for k in keys], grams.alias(f"grams_{name}"))
-        return kept.withColumn(f"gram_{name}", F.explode(f"grams_{name}"))
+    First texts without repeated bigrams meet others on the prefixes of both; for the edit score
+    all first texts do. First texts with repeats also meet all bigrams of the second for Dice.
+    """
+    carried = ("column", "value", "node", "total", "repeats", "bag", "grams")
+
+    def side(name: str, grams: str) -> DataFrame:
+        kept = [F.col(k).alias(f"{k}_{name}") for k in carried]
+        return postings.select(*kept, F.explode(grams).alias(f"gram_{name}"))
 
-    rare = F.slice("grams", F.lit(1), F.greatest(F.col("prefix"), F.lit(0)))
     a, b = F.col("value_a"), F.col("value_b")
-    share = F.lit(0.0) if dice is None else bigram_similarity(a, b)
-    score = F.greatest(share, edit_similarity(a, b)) if edit is not None else share
-    first_shared = F.element_at(F.array_intersect("grams_a", "grams_b"), 1) == F.col("gram_a")
-    matched = (
-        (F.col("column_a") == F.col("column_b")) & (F.col("gram_a") == F.col("gram_b")) & (a < b) & first_shared
-    )
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    common = F.array_intersect("grams_a", "grams_b")
+    of_plain, of_repeated = F.size(common), F.size(F.filter("bag_a", lambda x: F.array_contains("grams_b", x)))
+    shared = F.when(F.col("repeats_a") == 0, of_plain).otherwise(of_repeated)
+    share = F.least(F.lit(1.0), F.lit(2.0) * shared / (F.col("total_a") + F.col("total_b")))
+    close = (F.least(F.char_length(a), F.char_length(b)) >= longer * F.lit((edit or 1) - _ROUNDING)) & (
+        edit_similarity(a, b) >= F.lit(min_score))
+    by_dice, by_edit = share >= F.lit(min_score), close
+    reached = by_dice | by_edit if edit is not None and dice is not None else by_edit if dice is None else by_dice
+    candidate = (a < b) & (F.element_at(common, 1) == F.col("gram_a"))
     if other_nodes:
-        matched = matched & (F.col("node_a") != F.col("node_b"))
-    left = side("a", rare)
-    plain = left.where("repeats_a = 0") if plain_only else left
-    joins = [plain.join(side("b", rare), matched)]
+        candidate = (F.col("node_a") != F.col("node_b")) & candidate
+    plain, repeated = F.col("repeats_a") == 0, F.col("repeats_a") > 0
+    parts = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
+    def meet(first: Column | None, other: str, test: Column) -> DataFrame:
+        left = side("a", "rare") if first is None else side("a", "rare").where(first)
+        left, right = _in_blocks(left, side("b", other))
+        keys = ("column", "gram", "row", "col")
+        # Small in bytes but long to compute: a fixed number of partitions, not merged by size.
+        left = left.repartition(int(parts), *[f"{k}_a" for k in keys])
+        right = right.repartition(int(parts), *[f"{k}_b" for k in keys])
+        same = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys]
+        return left.join(right, [*same, candidate & test])
+
+    pairs = meet(plain if edit is None else None, "rare", reached)
     if dice is not None:
-        joins.append(left.where("repeats_a > 0").join(side("b", F.col("grams")), matched))
-    pairs = joins[0] if len(joins) == 1 else joins[0].unionByName(joins[1])
-    # A filter on a computed column would be moved into the join and compute it twice; as an array
-    # of one row it is computed once.
-    scored = F.array(
-        F.struct(F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", score.alias("score"))
-    )
-    return pairs.select(F.inline(F.filter(scored, lambda p: p["score"] >= F.lit(min_score))))
+        pairs = pairs.unionByName(meet(repeated, "every", by_dice))
+    return pairs.select(F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", share.alias("score"))
 
 
 def similar_pairs(values: DataFrame, min_score: float) -> DataFrame:
@@ -118,7 +177,7 @@ def similar_pairs(values: DataFrame, min_score: float) -> DataFrame:
     if not 0 < min_score <= 1:
         raise ValueError("min_score must be above 0 and at most 1")
     nodes = values.withColumn("node", F.col("value"))
-    return _scored(_postings(nodes, min_score, None), min_score, None, min_score, True, False)
+    return _scored(_postings(nodes, min_score, None, False), min_score, None, min_score, False)
 
 
 def fuzzy_pairs(df: DataFrame, column: str, min_score: float = 0.85) -> DataFrame:
@@ -133,6 +192,37 @@ def _node(column: Column, name: Column) -> Column:
     return F.struct(column.alias("column"), name.alias("name"))
 
 
+def _runs(values: DataFrame, min_score: float, dice: float | None, edit: float | None) -> DataFrame:
+    """(column, value, n, run, start): runs of values in sorted order, each similar to the one before."""
+    placed = global_row_index(values.select("column", "value", "n"), ["column", "value"], "place")
+    previous = placed.select(
+        (F.col("place") + 1).alias("p"), F.col("column").alias("pc"), F.col("value").alias("pv"))
+    near = (F.col("column") == F.col("pc")) & (_score(F.col("pv"), F.col("value"), dice, edit) >= F.lit(min_score))
+    start = F.when(near, F.lit(0)).otherwise(F.lit(1)).alias("start")
+    linked = placed.join(previous, F.col("place") == F.col("p"), "left").select("column", "value", "n", "place", start)
+    counted = running_total(linked, ["place"], "start", "before")
+    return counted.select("column", "value", "n", (F.col("before") + F.col("start")).alias("run"), "start")
+
+
+def _chained(values: DataFrame, min_score: float, dice: float | None, edit: float | None) -> DataFrame:
+    """Give linked values one ``node`` as far as sorted order shows the links.
+
+    Runs of similar neighbours are nodes; where they are long, the first values of the runs are
+    chained in turn. Dense columns (codes, numbered names) are linked in linear time this way, and
+    only pairs between nodes are left to look for.
+    """
+    runs = _runs(values, min_score, dice, edit)
+    total, found = runs.agg(F.count("*"), F.sum("start")).first()
+    if not total or found * LONG_RUN > total:
+        return runs.select("column", "value", "n", _node(F.col("column"), F.col("run").cast("string")).alias("node"))
+    firsts = runs.where("start = 1")
+    upper = _chained(firsts, min_score, dice, edit).select(
+        F.col("column").alias("c"), F.col("value").alias("v"), "node")
+    nodes = firsts.join(upper, (F.col("column") == F.col("c")) & (F.col("value") == F.col("v"))).select(
+        F.col("run").alias("r"), "node")
+    return runs.join(nodes, F.col("run") == F.col("r")).select("column", "value", "n", "node")
+
+
 def _containment_edges(values: DataFrame) -> DataFrame:
     """A one-character value scores 1.0 with every value that holds the character."""
     singles = values.where(F.char_length("value") == 1).select(
@@ -146,9 +236,9 @@ def _containment_edges(values: DataFrame) -> DataFrame:
 
 def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(column, value, n, group): the group is named after its smallest value."""
-    found = connected_components(edges)
-    placed = values.join(found, values["node"] == found["node"], "left").select(
-        "column", "value", "n", F.coalesce("component", values["node"]).alias("component")
+    found = connected_components(edges).withColumnRenamed("node", "linked")
+    placed = values.join(found, F.col("node") == F.col("linked"), "left").select(
+        "column", "value", "n", F.coalesce("component", "node").alias("component")
     )
     names = placed.groupBy(F.col("component").alias("comp")).agg(F.min("value").alias("group"))
     return placed.join(names, F.col("component") == F.col("comp")).select("column", "value", "n", "group")
@@ -157,16 +247,19 @@ def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
 def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
     """Groups of texts linked by any of the three scores at or above ``min_score``.
 
-    Texts with the same first characters, or the same collapsed root, are linked to one node
-    each instead of to one another, so those groups cost as many edges as they have members.
+    Texts with the same first characters are one node from the start, or else texts similar to
+    their neighbour in sorted order. Texts with the same collapsed root are linked to one node
+    instead of to one another. Such groups cost as many edges as they have members.
     """
     if not 2 / 3 < min_score <= 1:
         raise ValueError("min_score must be above 2/3: below it similar texts may share no bigram")
     length = next((k for k, s in PREFIX_SCORES.items() if use_prefix and s >= min_score), None)
-    name = F.col("value")
     if length:
-        name = F.when(F.char_length("value") >= length, F.left("value", F.lit(length))).otherwise(name)
-    values = values.withColumn("node", _node(F.col("column"), name))
+        start = F.left("value", F.lit(length))
+        name = F.when(F.char_length("value") >= length, start).otherwise(F.col("value"))
+        values = values.withColumn("node", _node(F.col("column"), name))
+    else:
+        values = _chained(values, min_score, min_score, min_score)
     edges = _containment_edges(values)
     if ROOT_SCORE >= min_score:
         rooted = values.where(F.char_length("value") > 0).select(
@@ -175,7 +268,7 @@ def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool =
         hubs = rooted.groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(F.min("node").alias("a"))
         hubs = rooted.join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
         edges = edges.unionByName(hubs.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")))
-    near = _scored(_postings(values, min_score, min_score), min_score, min_score, min_score, False, True)
+    near = _scored(_postings(values, min_score, min_score, True), min_score, min_score, min_score, True)
     edges = edges.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     return _group_by_edges(values, edges)
 
@@ -194,10 +287,9 @@ def suggest_unification(df: DataFrame, column: str, min_score: float = 0.85) ->
 
     The canonical value is the most frequent, then the smallest. ``unify_values`` takes the result.
     """
-    values = text_values(df, [column])
-    values = values.withColumn("node", F.col("value"))
-    pairs = _scored(_postings(values, min_score, None), min_score, None, min_score, True, False)
-    edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    values = _chained(text_values(df, [column]), min_score, min_score, None)
+    pairs = _scored(_postings(values, min_score, None, True), min_score, None, min_score, True)
+    edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     groups = _group_by_edges(values, edges.unionByName(_containment_edges(values)))
     return canonical_values(groups).select("canonical", "variant", "n")
 
