@@ -12,6 +12,8 @@ scores, so no pair that reaches the wanted score is lost:
   t(A+B)/2 - e distinct ones are shared, and B is at least (tA/2 - e) / (1 - t/2). Seen from
   the second text and e = 0 the bound is tB/(2-t). For e > 0 the second text takes part with all
   its bigrams, in a join of its own.
+* The bounds for the two texts at hand are closer than for either alone, so the places of a
+  bigram in both rule most pairs out before anything is compared.
 * Edit similarity s, with the longer text of length L: at most (1-s)L edits, each breaking two
   bigrams, leave at least (2s-1)L - 1 in common, repeats included. Above s = 2/3 that is never
   less than one when an edit is possible at all.
@@ -89,15 +91,17 @@ def _postings(values: DataFrame, dice: float | None, edit: float | None, other_n
         F.array_sort(F.collect_list(F.struct("freq", "gram", "useful"))).alias("listed")
     )
 
-    def grams_of(entries: Column) -> Column:
-        return F.transform(F.filter(entries, lambda s: s["useful"]), lambda s: s["gram"])
+    def placed(entry: Column, place: Column) -> Column:
+        return F.struct(entry["gram"].alias("gram"), place.alias("place"), entry["useful"].alias("useful"))
 
-    rare = F.slice("listed", F.lit(1), F.greatest(F.col("prefix"), F.lit(0)))
+    places = F.transform("listed", placed)
+    every = F.filter(places, lambda s: s["useful"])
+    rare = F.filter(places, lambda s: s["useful"] & (s["place"] < F.col("prefix")))
     postings = listed.select(
         "column", "value", "node", "total", "repeats",
         F.when(F.col("repeats") > 0, bigram_codes(F.col("value"))).alias("bag"),
         F.transform("listed", lambda s: s["gram"]).alias("grams"),
-        grams_of(rare).alias("rare"), grams_of(F.col("listed")).alias("every"),
+        rare.alias("rare"), every.alias("every"),
     )
     return write_out(postings, "postings")
 
@@ -138,21 +142,32 @@ def _scored(
 
     def side(name: str, grams: str) -> DataFrame:
         kept = [F.col(k).alias(f"{k}_{name}") for k in carried]
-        return postings.select(*kept, F.explode(grams).alias(f"gram_{name}"))
+        found = postings.select(*kept, F.explode(grams).alias("found"))
+        return found.withColumns(
+            {f"gram_{name}": F.col("found.gram"), f"place_{name}": F.col("found.place")}).drop("found")
+
+    def near_enough(least_shared: Column) -> Column:
+        """Whether so many bigrams can be shared when this one, the rarest, has these places."""
+        wanted = F.greatest(F.lit(1), least_shared)
+        return (F.col("place_a") <= F.size("grams_a") - wanted) & (F.col("place_b") <= F.size("grams_b") - wanted)
 
     a, b = F.col("value_a"), F.col("value_b")
     longer = F.greatest(F.char_length(a), F.char_length(b))
     common = F.array_intersect("grams_a", "grams_b")
+    first_shared = F.element_at(common, 1) == F.col("gram_a")
     of_plain, of_repeated = F.size(common), F.size(F.filter("bag_a", lambda x: F.array_contains("grams_b", x)))
     shared = F.when(F.col("repeats_a") == 0, of_plain).otherwise(of_repeated)
     share = F.least(F.lit(1.0), F.lit(2.0) * shared / (F.col("total_a") + F.col("total_b")))
-    close = (F.least(F.char_length(a), F.char_length(b)) >= longer * F.lit((edit or 1) - _ROUNDING)) & (
-        edit_similarity(a, b) >= F.lit(min_score))
-    by_dice, by_edit = share >= F.lit(min_score), close
+    like_length = F.least(F.char_length(a), F.char_length(b)) >= longer * F.lit((edit or 1) - _ROUNDING)
+    by_dice = by_edit = None
+    if dice is not None:
+        least = _ceil((F.col("total_a") + F.col("total_b")) * dice / 2) - F.col("repeats_a")
+        by_dice = near_enough(least) & first_shared & (share >= F.lit(min_score))
+    if edit is not None:
+        least = _ceil(longer * (2 * edit - 1) - 1) - F.least("repeats_a", "repeats_b")
+        by_edit = near_enough(least) & like_length & first_shared & (edit_similarity(a, b) >= F.lit(min_score))
     reached = by_dice | by_edit if edit is not None and dice is not None else by_edit if dice is None else by_dice
-    candidate = (a < b) & (F.element_at(common, 1) == F.col("gram_a"))
-    if other_nodes:
-        candidate = (F.col("node_a") != F.col("node_b")) & candidate
+    candidate = (a < b) & (F.col("node_a") != F.col("node_b")) if other_nodes else a < b
     plain, repeated = F.col("repeats_a") == 0, F.col("repeats_a") > 0
     parts = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
 
@@ -169,7 +184,10 @@ def _scored(
     pairs = meet(plain if edit is None else None, "rare", reached)
     if dice is not None:
         pairs = pairs.unionByName(meet(repeated, "every", by_dice))
-    return pairs.select(F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", share.alias("score"))
+    # As a generated row the score is computed for the pairs found; a later filter on it would
+    # otherwise move into the join and be tried first, on every candidate.
+    found = F.struct(F.col("column_a").alias("column"), "value_a", "value_b", "node_a", "node_b", share.alias("score"))
+    return pairs.select(F.inline(F.array(found)))
 
 
 def similar_pairs(values: DataFrame, min_score: float) -> DataFrame:
