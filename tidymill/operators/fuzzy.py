@@ -38,6 +38,8 @@ PREFIX_SCORES = {2: 0.75, 3: 0.80, 4: 0.85}
 # Values of one bigram that one join key holds at most.
 BLOCK_VALUES = 2000
 
+# So few values are compared without chaining them first.
+FEW_VALUES = 2000
 # Mean length of runs from which on their first values are chained again.
 LONG_RUN = 4
 
@@ -111,21 +113,25 @@ def _score(a: Column, b: Column, dice: float | None, edit: float | None) -> Colu
     return F.greatest(share, edit_similarity(a, b)) if edit is not None else share
 
 
-def _in_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hot_bigrams(postings: DataFrame) -> DataFrame | None:
+    """(c, g, blocks) of the bigrams with more than ``BLOCK_VALUES`` values, or None without any."""
+    counts = postings.select(F.col("column").alias("c"), F.explode("every.gram").alias("g")).groupBy("c", "g").count()
+    hot = counts.where(F.col("count") > BLOCK_VALUES)
+    hot = hot.select("c", "g", F.ceil(F.col("count") / BLOCK_VALUES).alias("blocks"))
+    return None if hot.isEmpty() else hot
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut the postings of a hot bigram into blocks and pair every block with every other.
 
     Each pair of blocks is a join key of its own, so no task compares more than a block squared.
-    The bigrams this takes are few; they are joined on by their measured size.
     """
-    hot = b.groupBy(F.col("column_b").alias("c"), F.col("gram_b").alias("g")).agg(F.count("*").alias("m"))
-    hot = hot.where(F.col("m") > BLOCK_VALUES).select("c", "g", F.ceil(F.col("m") / BLOCK_VALUES).alias("blocks"))
 
     def cut(side: DataFrame, s: str, own: str, other: str) -> DataFrame:
         same = (F.col(f"column_{s}") == F.col("c")) & (F.col(f"gram_{s}") == F.col("g"))
         blocks = F.coalesce("blocks", F.lit(1))
-        return side.join(hot, same, "left").withColumns({
-            f"{own}_{s}": F.pmod(F.xxhash64(f"value_{s}"), blocks),
-        }).withColumn(f"{other}_{s}", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("c", "g", "blocks")
+        cut_up = side.join(hot, same, "left").withColumn(f"{own}_{s}", F.pmod(F.xxhash64(f"value_{s}"), blocks))
+        return cut_up.withColumn(f"{other}_{s}", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("c", "g", "blocks")
 
     return cut(a, "a", "row", "col"), cut(b, "b", "col", "row")
 
@@ -170,11 +176,14 @@ def _scored(
     candidate = (a < b) & (F.col("node_a") != F.col("node_b")) if other_nodes else a < b
     plain, repeated = F.col("repeats_a") == 0, F.col("repeats_a") > 0
     parts = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    hot = _hot_bigrams(postings)
 
     def meet(first: Column | None, other: str, test: Column) -> DataFrame:
         left = side("a", "rare") if first is None else side("a", "rare").where(first)
-        left, right = _in_blocks(left, side("b", other))
-        keys = ("column", "gram", "row", "col")
+        right, keys = side("b", other), ["column", "gram"]
+        if hot is not None:
+            left, right = _in_blocks(left, right, hot)
+            keys += ["row", "col"]
         # Small in bytes but long to compute: a fixed number of partitions, not merged by size.
         left = left.repartition(int(parts), *[f"{k}_a" for k in keys])
         right = right.repartition(int(parts), *[f"{k}_b" for k in keys])
@@ -229,9 +238,11 @@ def _chained(values: DataFrame, min_score: float, dice: float | None, edit: floa
     chained in turn. Dense columns (codes, numbered names) are linked in linear time this way, and
     only pairs between nodes are left to look for.
     """
+    if values.count() <= FEW_VALUES:
+        return values.withColumn("node", _node(F.col("column"), F.col("value")))
     runs = _runs(values, min_score, dice, edit)
     total, found = runs.agg(F.count("*"), F.sum("start")).first()
-    if not total or found * LONG_RUN > total:
+    if found * LONG_RUN > total:
         return runs.select("column", "value", "n", _node(F.col("column"), F.col("run").cast("string")).alias("node"))
     firsts = runs.where("start = 1")
     upper = _chained(firsts, min_score, dice, edit).select(
