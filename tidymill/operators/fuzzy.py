@@ -238,8 +238,6 @@ def _chained(values: DataFrame, min_score: float, dice: float | None, edit: floa
     chained in turn. Dense columns (codes, numbered names) are linked in linear time this way, and
     only pairs between nodes are left to look for.
     """
-    if values.count() <= FEW_VALUES:
-        return values.withColumn("node", _node(F.col("column"), F.col("value")))
     runs = _runs(values, min_score, dice, edit)
     total, found = runs.agg(F.count("*"), F.sum("start")).first()
     if found * LONG_RUN > total:
@@ -252,6 +250,12 @@ def _chained(values: DataFrame, min_score: float, dice: float | None, edit: floa
     return runs.join(nodes, F.col("run") == F.col("r")).select("column", "value", "n", "node")
 
 
+def _with_nodes(values: DataFrame, min_score: float, dice: float | None, edit: float | None) -> DataFrame:
+    if values.count() <= FEW_VALUES:
+        return values.withColumn("node", _node(F.col("column"), F.col("value")))
+    return _chained(values, min_score, dice, edit)
+
+
 def _containment_edges(values: DataFrame) -> DataFrame:
     """A one-character value scores 1.0 with every value that holds the character."""
     singles = values.where(F.char_length("value") == 1).select(
@@ -288,7 +292,7 @@ def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool =
         name = F.when(F.char_length("value") >= length, start).otherwise(F.col("value"))
         values = values.withColumn("node", _node(F.col("column"), name))
     else:
-        values = _chained(values, min_score, min_score, min_score)
+        values = _with_nodes(values, min_score, min_score, min_score)
     edges = _containment_edges(values)
     if ROOT_SCORE >= min_score:
         rooted = values.where(F.char_length("value") > 0).select(
@@ -316,7 +320,7 @@ def suggest_unification(df: DataFrame, column: str, min_score: float = 0.85) ->
 
     The canonical value is the most frequent, then the smallest. ``unify_values`` takes the result.
     """
-    values = _chained(text_values(df, [column]), min_score, min_score, None)
+    values = _with_nodes(text_values(df, [column]), min_score, min_score, None)
     pairs = _scored(_postings(values, min_score, None, True), min_score, None, min_score, True)
     edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     groups = _group_by_edges(values, edges.unionByName(_containment_edges(values)))
