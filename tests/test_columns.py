@@ -87,6 +87,12 @@ def test_dates(one, values):
     assert values(c.format_dates(df, ["v"]))[:2] == ["05/01/2020", "05/01/2020"]
 
 
+def test_date_formats_with_letters(one, values):
+    df = one(["05 Jan 2020", "5.1.2020", "2020-01-05T01:02:03"])
+    got = values(c.cast_date(df, ["v"], ["dd MMM yyyy", "d.M.yyyy", "yyyy-M-d'T'HH:mm:ss"]))
+    assert [str(v) for v in got] == ["2020-01-05 00:00:00", "2020-01-05 00:00:00", "2020-01-05 01:02:03"]
+
+
 def test_expression_with_aggregate(one):
     df = one([1.0, 2.0, 6.0], "double")
     out = c.add_expression_column(df, "d", "v - m", {"m": "avg(v)"})

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, columns, fuzzy, lineage, profile, validate
 from ..plans import steps, suggest
-from ..scratch import write_out
 from .column_queries import dice_sql, edit_sql, root_sql
 from .registry import add
 

@@ -248,13 +248,12 @@ add("replace_values",
                                    {"N/A": "SEM DADO", "BUILDING": "OBRA"}),
     "SELECT c_custkey, CASE segment WHEN 'N/A' THEN 'SEM DADO' WHEN 'BUILDING' THEN 'OBRA' ELSE segment END "
     "AS segment FROM {dirty_customer}")
+_FIFTH = "o_totalprice * o_totalprice * o_totalprice * o_totalprice * o_totalprice AS fifth"
 add("outliers_iqr",
-    lambda t: clean.outliers_iqr(
-        t.orders.selectExpr("o_orderkey", "o_totalprice * o_totalprice * o_totalprice AS cubed"), "cubed")
-    .select("o_orderkey"),
-    "WITH v AS (SELECT o_orderkey, o_totalprice * o_totalprice * o_totalprice AS cubed FROM orders), "
-    "q AS (SELECT quantile_cont(cubed, 0.25) AS q1, quantile_cont(cubed, 0.75) AS q3 FROM v) "
-    "SELECT o_orderkey FROM v, q WHERE cubed < q1 - 1.5 * (q3 - q1) OR cubed > q3 + 1.5 * (q3 - q1)")
+    lambda t: clean.outliers_iqr(t.orders.selectExpr("o_orderkey", _FIFTH), "fifth").select("o_orderkey"),
+    f"WITH v AS (SELECT o_orderkey, {_FIFTH} FROM orders), "
+    "q AS (SELECT quantile_cont(fifth, 0.25) AS q1, quantile_cont(fifth, 0.75) AS q3 FROM v) "
+    "SELECT o_orderkey FROM v, q WHERE fifth < q1 - 1.5 * (q3 - q1) OR fifth > q3 + 1.5 * (q3 - q1)")
 add("unify_values",
     lambda t: clean.unify_values(t.dirty_customer.select("c_custkey", "segment"), "segment",
                                  {"CONSTRUCAO": ["building", "N/A"], "MAQUINAS": ["Machinery "]}),

@@ -43,6 +43,28 @@ def spark_pattern(strftime: str) -> str:
     return "".join(pieces)
 
 
+def _shape(pattern: str) -> str | None:
+    """A regular expression that every text of the pattern matches; None for other letters."""
+    digits = {"yyyy": "[0-9]{4}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}"}
+    pieces = []
+    for token in re.findall(r"'[^']*'|y+|M+|d+|H+|m+|s+|[A-Za-z]+|[^A-Za-z']+", pattern):
+        if token in digits:
+            pieces.append(digits[token])
+        elif token in ("MM", "dd", "HH", "mm", "ss"):
+            pieces.append("[0-9]{2}")
+        elif token[0].isalpha():
+            return None
+        else:
+            pieces.append(re.escape(token.strip("'")))
+    return "^" + "".join(pieces) + "$"
+
+
+def _try(text: Column, pattern: str) -> Column:
+    """Parse by one pattern. The shape is tested first, because a failed parse is far slower."""
+    shape, parsed = _shape(pattern), F.try_to_timestamp(text, F.lit(pattern))
+    return F.when(text.rlike(shape), parsed) if shape else parsed
+
+
 def cast_date(c: Column, data_type: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Wall-clock timestamp; a text that fits none of the formats becomes null."""
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -50,8 +72,7 @@ def cast_date(c: Column, data_type: T.DataType, formats: Sequence[str] = DATE_FO
     if not is_text(data_type):
         return F.lit(None).cast("timestamp_ntz")
     text = trim_ws(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return F.coalesce(*[_try(text, f) for f in formats]).cast("timestamp_ntz")
 
 
 def format_dates(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import to_number
-from ..functions.refs import col, cols, dtype, is_float, is_number, is_text, present, require
+from ..functions.refs import col, cols, dtype, is_float, is_number, is_text, present
 from ..functions.text import as_text, upper_trim
 from .quantiles import exact_quantiles
 

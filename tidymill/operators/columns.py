@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import criteria, dates, numbers, text
-from ..functions.refs import col, cols, dtype, present, require, unused_name
+from ..functions.refs import col, cols, dtype, present, unused_name
 
 
 def put(df: DataFrame, name: str, column: Column) -> DataFrame:
