@@ -45,3 +45,21 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return id_and_text(docs).mapInArrow(run, schema)
+
+
+def filter_rows(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """The rows of ``docs`` that are kept, whole and in place. ``make()`` returns a function from a
+    list of texts to a list of booleans; the text is the column ``text``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            text = batch.column(at).cast(pa.string())
+            narrow = pa.RecordBatch.from_arrays([text, pa.array(range(batch.num_rows), pa.int64())], names=["text", "i"])
+            for part in pieces(narrow):
+                kept = [i for i, k in zip(part.column(1).to_pylist(), keep(part.column(0).to_pylist())) if k]
+                if kept:
+                    yield batch.take(pa.array(kept, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
