@@ -46,9 +46,9 @@ class Settings:
     attention: int = 8
     window: int = 32
     stride: int = 24
-    sample_each: int = 4000
-    slice_chars: int = 20_000
-    steps: int = 350
+    sample_each: int = 3000
+    slice_chars: int = 12_000
+    steps: int = 400
     batch: int = 128
     rate: float = 0.01
     cached_words: int = 200_000
@@ -66,7 +66,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket of each word, buckets of all its pieces, and where each word's pieces begin.
+    """Word bucket of each word, buckets of all its pieces, and the number of each word's pieces.
 
     A word is written as ``<word>``; pieces have three, four or five bytes of that.
     """
@@ -98,7 +98,7 @@ def word_features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarr
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     whole = np.add.reduceat(mixed, starts) * np.uint64(0xD6E8FEB86659FD93)
     whole = (whole >> np.uint64(64 - s.word_buckets.bit_length() + 1)).astype(np.int64)
-    return whole, codes, np.searchsorted(places, starts)
+    return whole, codes, np.diff(np.searchsorted(places, np.append(starts, size)))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,21 +121,19 @@ class Network:
         self.key = hashlib.sha256(pickle.dumps((self.word_z, self.piece_z, self.p))).hexdigest()
         return self
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Input vector of each word, and the places of its parameters (for training)."""
-        whole, codes, starts = word_features(words, self.settings)
-        counts = np.diff(np.append(starts, len(codes)))
+    def vectors(self, whole: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Input vectors of words, given by their word buckets and the buckets of their pieces."""
+        starts = np.cumsum(counts) - counts
         z = self.piece_z[codes]
         evidence = np.stack(
             [self.word_z[whole], np.maximum.reduceat(z, starts), np.minimum.reduceat(z, starts)], axis=1
         )
         mean = np.add.reduceat(self.p["piece"][codes], starts, axis=0) / counts[:, None].astype(np.float32)
-        x = np.concatenate([evidence, self.p["word"][whole], mean], axis=1).astype(np.float32)
-        return x, (whole, codes, counts)
+        return np.concatenate([evidence, self.p["word"][whole], mean], axis=1).astype(np.float32)
 
-    def project(self, words: list[bytes]) -> np.ndarray:
+    def project(self, whole: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What the gates of both layers get from each word: six times ``hidden`` numbers."""
-        x, _ = self.inputs(words)
+        x = self.vectors(whole, codes, counts)
         return np.concatenate([x @ self.p[f"{d}W"] + self.p[f"{d}b"] for d in "fb"], axis=1)
 
     def states(self, gates: np.ndarray, direction: str, lengths: np.ndarray, keep: bool = False):
@@ -182,22 +180,24 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability for each whole text; a text without words has the bare bias."""
-        return sigmoid(self.scale * self.highest([words_of(text) for text in texts])[0] + self.shift)
-
-    def highest(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Logit of the highest window of each row of words, and that window's number."""
-        s = self.settings
+        split = [words_of(text) for text in texts]
         table = _tables(self)
         table.reserve(split)
-        rows = [table.rows(words) for words in split]
+        best, _ = self.highest([table.rows(words) for words in split], table.values)
+        return sigmoid(self.scale * best + self.shift)
+
+    def highest(self, rows: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of the highest window of each text, and that window's number. A text is the row
+        numbers of its words in ``values``, the projections."""
+        s = self.settings
         counts = np.array([len(r) for r in rows], np.int64)
         windows = np.where(counts > s.window, -(-(counts - s.window) // s.stride) + 1, counts > 0)
-        best, which = np.full(len(split), self.p["c"][0], np.float32), np.zeros(len(split), np.int64)
+        best, which = np.full(len(rows), self.p["c"][0], np.float32), np.zeros(len(rows), np.int64)
         if not windows.sum():
             return best, which
         flat = np.concatenate([*rows, np.zeros(s.window, np.int64)])
         begins = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(split)), windows)
+        owner = np.repeat(np.arange(len(rows)), windows)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = begins[owner] + number * s.stride
         length = np.minimum(begins[owner] + counts[owner] - start, s.window)
@@ -206,7 +206,7 @@ class Network:
         for at in range(0, len(order), 1024):
             part = order[at : at + 1024]
             places = start[part][:, None] + np.arange(int(length[part[0]]))
-            logits[part] = self.window_logits(table.values[flat[places]], length[part])
+            logits[part] = self.window_logits(values[flat[places]], length[part])
         filled = np.flatnonzero(windows)
         firsts = (np.cumsum(windows) - windows)[filled]
         best[filled] = np.maximum.reduceat(logits, firsts)
@@ -237,7 +237,8 @@ class Projections:
             self.values = grown
         for at in range(0, len(names), 20_000):
             part = names[at : at + 20_000]
-            self.values[self.used : self.used + len(part)] = self.network.project(part)
+            projected = self.network.project(*word_features(part, self.network.settings))
+            self.values[self.used : self.used + len(part)] = projected
             self.index.update(zip(part, range(self.used, self.used + len(part))))
             self.used += len(part)
 
@@ -255,15 +256,48 @@ def _tables(network: Network) -> Projections:
     return _KEPT[network.key]
 
 
-def _evidence(buckets: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+class Sample:
+    """Labelled texts as numbers of words in one list, and the features of the words in that list."""
+
+    def __init__(self, texts: list[str], labels: list[int], settings: Settings):
+        self.index: dict[bytes, int] = {}
+        self.docs, kept = [], []
+        for text, label in zip(texts, labels):
+            words = words_of(text)
+            if words:
+                index = self.index
+                self.docs.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+                kept.append(label)
+        self.toxic = np.array(kept, int)
+        words, parts = list(self.index), []
+        for at in range(0, len(words), 20_000):
+            whole, codes, counts = word_features(words[at : at + 20_000], settings)
+            parts.append((whole.astype(np.int32), codes.astype(np.int32), counts.astype(np.int32)))
+        self.index = {}
+        empty = [(np.zeros(0, np.int32),) * 3]
+        self.whole, self.codes, self.counts = (np.concatenate(c) for c in zip(*(parts or empty)))
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+
+    def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = self.counts[words].astype(np.int64)
+        places = np.repeat(self.starts[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return self.whole[words], self.codes[places], counts
+
+
+def _evidence(sample: Sample, rows: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Log ratio of the shares of toxic and other documents that a bucket is in, as if ``PSEUDO_DOCS``
     more documents of the usual mix had it: buckets never seen have no evidence, rare ones little."""
-    counts = np.zeros((2, size))
-    for found, label in zip(buckets, toxic):
-        counts[int(label), found] += 1
-    share = np.array([(toxic == k).sum() for k in (0, 1)]) / max(1, len(toxic))
-    shrunk = counts + PSEUDO_DOCS * share[:, None]
-    return (np.log(shrunk[1] / shrunk[0]) - np.log(share[1] / share[0])).astype(np.float32)
+    words, parts = np.zeros((2, settings.word_buckets)), np.zeros((2, settings.piece_buckets))
+    for i in rows:
+        whole, codes, _ = sample.features(np.unique(sample.docs[i]))
+        words[sample.toxic[i], np.unique(whole)] += 1
+        parts[sample.toxic[i], np.unique(codes)] += 1
+    share = np.array([(sample.toxic[rows] == k).sum() for k in (0, 1)]) / max(1, len(rows))
+    found = []
+    for counts in (words, parts):
+        shrunk = counts + PSEUDO_DOCS * share[:, None]
+        found.append((np.log(shrunk[1] / shrunk[0]) - np.log(share[1] / share[0])).astype(np.float32))
+    return found[0], found[1]
 
 
 def _parameters(s: Settings, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -285,8 +319,8 @@ def _parameters(s: Settings, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray):
-    """Gradients of the weighted logistic loss over one batch of windows, and those of the inputs."""
+def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, target: np.ndarray):
+    """Gradients of the mean logistic loss over one batch of windows, and those of the inputs."""
     s, p = net.settings, net.p
     h = s.hidden
     steps, outs = {}, {}
@@ -294,7 +328,7 @@ def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, target: np.ndar
         outs[d], steps[d] = net.states(x @ p[f"{d}W"] + p[f"{d}b"], d, lengths, keep=True)
     both = np.concatenate([outs["f"], outs["b"]], axis=2)
     logits, (hidden, attention, pooled) = net.pool(both, lengths)
-    error = ((sigmoid(logits) - target) * weight / weight.sum()).astype(np.float32)
+    error = ((sigmoid(logits) - target) / len(target)).astype(np.float32)
     g = {"o": pooled.T @ error, "c": error.sum(keepdims=True)}
     d_pooled = error[:, None] * p["o"]
     d_both = attention[:, :, None] * d_pooled
@@ -325,23 +359,22 @@ def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, target: np.ndar
     return g, d_x
 
 
-def _train_network(folds: list[Network], docs: list[list[bytes]], toxic: np.ndarray, fold: np.ndarray,
-                   rng: np.random.Generator) -> np.ndarray:
+def _train_network(folds: list[Network], sample: Sample, fold: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Adam over windows; ``folds`` share their parameters and differ in evidence. Returns the logit
     of each document's highest window."""
     s, p = folds[0].settings, folds[0].p
+    docs, toxic = sample.docs, sample.toxic
     centre = np.zeros(len(docs), int)
     for i, words in enumerate(docs):
-        x, _ = folds[fold[i]].inputs(words)
+        x = folds[fold[i]].vectors(*sample.features(words))
         centre[i] = x[:, :EVIDENCE].max(axis=1).argmax()
     groups = [np.flatnonzero(toxic == k) for k in (0, 1)]
     odds = [np.full(len(group), 1 / len(group)) for group in groups]
     small = [k for k in p if k not in ("word", "piece")]
     first, second = ({k: np.zeros_like(p[k]) for k in small} for _ in range(2))
-    logits = np.zeros(len(docs))
     for step in range(1, s.steps + 1):
         if step == s.steps // 2:
-            logits, centre = _highest(folds, docs, fold)
+            logits, centre = _highest(folds, sample, fold)
             miss = np.abs(sigmoid(logits) - toxic) + 0.02
             odds = [miss[group] / miss[group].sum() for group in groups]
         chosen = np.concatenate([rng.choice(group, s.batch // 2, p=o) for group, o in zip(groups, odds)])
@@ -357,38 +390,40 @@ def _train_network(folds: list[Network], docs: list[list[bytes]], toxic: np.ndar
         windows = [windows[i] for i in order]
         real = np.arange(lengths[0]) < lengths[:, None]
         x = np.zeros((len(windows), int(lengths[0]), p["fW"].shape[0]), np.float32)
-        places = {}
+        places = []
         for f, net in enumerate(folds):
             rows = np.flatnonzero(fold[owners] == f)
             if len(rows):
                 own = np.zeros_like(real)
                 own[rows] = real[rows]
-                x[own], places[f] = net.inputs([w for r in rows for w in windows[r]])
-                places[f] = (own, *places[f])
-        target = toxic[owners].astype(np.float32)
-        g, d_x = _gradients(folds[0], x, lengths, target, np.ones(len(windows), np.float32))
+                found = sample.features(np.concatenate([windows[r] for r in rows]))
+                x[own] = net.vectors(*found)
+                places.append((own, *found))
+        g, d_x = _gradients(folds[0], x, lengths, toxic[owners].astype(np.float32))
         rate = s.rate * min(1.0, 2 * (1 - step / (s.steps + 1)))
         for k in small:
             first[k] += 0.1 * (g[k] - first[k])
             second[k] += 0.01 * (g[k] ** 2 - second[k])
             p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-        for own, whole, codes, counts in places.values():
+        for own, whole, codes, counts in places:
             d_words = d_x[own]
             np.add.at(p["word"], whole, -EMBEDDING_RATE * d_words[:, EVIDENCE : EVIDENCE + s.word_dim])
             d_pieces = d_words[:, EVIDENCE + s.word_dim :] / counts[:, None]
             np.add.at(p["piece"], codes, -EMBEDDING_RATE * np.repeat(d_pieces, counts, axis=0))
-    return _highest(folds, docs, fold)[0]
+    return _highest(folds, sample, fold)[0]
 
 
-def _highest(folds: list[Network], docs: list[list[bytes]], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _highest(folds: list[Network], sample: Sample, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logit of each document's highest window, and the middle word of that window."""
+    docs = sample.docs
     logits, middle = np.zeros(len(docs)), np.zeros(len(docs), int)
     for f, net in enumerate(folds):
-        net.sealed()
         own = np.flatnonzero(fold == f)
         for at in range(0, len(own), 200):
             part = own[at : at + 200]
-            logits[part], number = net.highest([docs[i] for i in part])
+            words, places = np.unique(np.concatenate([docs[i] for i in part]), return_inverse=True)
+            rows = np.split(places, np.cumsum([len(docs[i]) for i in part])[:-1])
+            logits[part], number = net.highest(rows, net.project(*sample.features(words)))
             half = np.array([min(net.settings.window, len(docs[i])) // 2 for i in part])
             middle[part] = number * net.settings.stride + half
     return logits, middle
@@ -396,32 +431,25 @@ def _highest(folds: list[Network], docs: list[list[bytes]], fold: np.ndarray) ->
 
 def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Network | None:
     """Train on texts and their labels; null if either class is missing."""
-    docs = [words_of(text) for text in texts]
-    keep = [i for i, words in enumerate(docs) if words]
-    docs, toxic = [docs[i] for i in keep], np.array([labels[i] for i in keep], int)
-    if len(set(toxic.tolist())) < 2:
+    sample = Sample(texts, labels, settings)
+    if len(set(sample.toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(6)
-    features = [word_features(sorted(set(words)), settings) for words in docs]
-    whole, pieces = [np.unique(f[0]) for f in features], [np.unique(f[1]) for f in features]
-    fold = np.zeros(len(docs), int)
+    fold = np.zeros(len(sample.docs), int)
     for k in (0, 1):  # each class evenly over the folds
-        own = rng.permutation(np.flatnonzero(toxic == k))
+        own = rng.permutation(np.flatnonzero(sample.toxic == k))
         fold[own] = np.arange(len(own)) % FOLDS
     parameters = _parameters(settings, rng)
 
     def network(rows: np.ndarray) -> Network:
-        return Network(
-            settings, _evidence([whole[i] for i in rows], toxic[rows], settings.word_buckets),
-            _evidence([pieces[i] for i in rows], toxic[rows], settings.piece_buckets), parameters,
-        )
+        return Network(settings, *_evidence(sample, rows, settings), parameters)
 
     folds = [network(np.flatnonzero(fold != f)) for f in range(FOLDS)]
-    logits = _train_network(folds, docs, toxic, fold, rng)
-    final = network(np.arange(len(docs)))
+    logits = _train_network(folds, sample, fold, rng)
+    final = network(np.arange(len(sample.docs)))
     # The scale: a logistic fit of the labels on the highest windows, by gradient descent.
     for _ in range(800):
-        miss = sigmoid(final.scale * logits + final.shift) - toxic
+        miss = sigmoid(final.scale * logits + final.shift) - sample.toxic
         final.scale -= 0.05 * float((miss * logits).mean())
         final.shift -= 0.2 * float(miss.mean())
     return final.sealed()
