@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_join, packing, token_counts, toxicity
+from . import bpe, embedding_dedup, langid, licenses, ngram_join, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op3_license_scan", licenses.detection_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.detect(table(spark, folder, "documents")).drop("detections")
