@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, licenses, ngram_join, packing, token_counts, toxicity
+from . import bpe, embedding_dedup, langid, licenses, ngram_join, packing, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_license_scan", licenses.detection_sql())
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.detect(table(spark, folder, "documents")).drop("detections")
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, folder, "labels")))
