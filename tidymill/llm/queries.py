@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, langid, licenses, ngram_join, packing, quality_rules, token_counts, toxicity
+from . import bpe, embedding_dedup, langid, licenses, ngram_join, packing, quality_rules, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, folder, "labels")))
+
+
+@query("op2_warc", warc.derivatives_sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, folder, "pages")))
+    return records.withColumn("record_sha256", F.sha2(F.col("record").cast("binary"), 256)).drop("block", "record")
