@@ -104,11 +104,11 @@ def _keys(classes: DataFrame, signs: int, tables: int, form: str) -> DataFrame:
 
 
 def _compare(cosine: float, form: str):
-    def unit_links(table: int, sides: np.ndarray, vectors: np.ndarray, keys: np.ndarray):
+    def unit_links(table: int, apart: bool, sides: np.ndarray, vectors: np.ndarray, keys: np.ndarray):
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         close = unit @ unit.T >= cosine
         np.fill_diagonal(close, False)
-        if sides.min() != sides.max():  # two blocks: what lies within either has a unit of its own
+        if apart:  # two blocks: what lies within either has a unit of its own
             close &= sides[:, None] != sides[None, :]
         fresh = close.copy()
         rows, columns = np.nonzero(close)
@@ -133,7 +133,7 @@ def _compare(cosine: float, form: str):
             vectors = np.frombuffer(b"".join(part["vector"]), form).reshape(len(part), -1).astype(float)
             keys = np.frombuffer(b"".join(part["keys"]), "<i4").reshape(len(part), -1)
             reps, members = part["rep"].to_numpy(), part["members"].to_numpy()
-            close, fresh = unit_links(int(unit[1]), part["side"].to_numpy(), vectors, keys)
+            close, fresh = unit_links(int(unit[1]), unit[3] != unit[4], part["side"].to_numpy(), vectors, keys)
             linked = np.flatnonzero(close.any(axis=1))
             if len(linked):
                 root, links = smallest(close, reps), fresh @ members
@@ -169,8 +169,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
     Vectors that are null, zero or hold null or non-finite components, or whose label is null, link
     with nothing; so do vectors of different lengths. Rows with one vector and label are linked copies,
-    a repeated ``vec_id`` among them. A vector without an id counts as a link of others, but names no
-    component. Other columns are not read; an empty table gives an empty one.
+    a repeated ``vec_id`` among them. A vector without an id counts as a link of its copies only and names
+    no component. Other columns are not read; an empty table gives an empty one.
     """
     kind = vectors.schema["embedding"].dataType
     form = "<f4" if isinstance(kind.elementType, T.FloatType) else "<f8"
