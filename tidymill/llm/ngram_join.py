@@ -19,7 +19,7 @@ so that prefixes are made of n-grams that hardly any other set has.
    its classes outside the list's commonest component meet all those in other components; those
    within one component need no comparison. As long as that would be many more pairs than postings
    and links keep turning up, lists first meet one more leader. The length filter, the positional
-   filter (places before and after the shared n-gram) and the suffix filter (the ranges after it)
+   filter (n-grams before and after the shared one, without those no other set has) and the suffix filter (the ranges after it)
    bound a pair's overlap before any set is moved.
 4. *Verification.* The two sets of each candidate pair are joined by class and intersected.
 
@@ -45,7 +45,7 @@ PERCENT = 80
 BLOCK_DOCS = 4096  # documents of a block, fewer than 65,535
 BLOCK_SHINGLES = 1_000_000
 RANGES = 8
-PAIRS_PER_POSTING = 8
+PAIRS_PER_POSTING = 256
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,7 +256,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``gram, class_id, n, place, after``: the shared n-grams of each class's rare-first prefix."""
+    """``gram, class_id, n, place, before, after``: the shared n-grams of each class's rare-first prefix.
+    ``before`` and ``after`` count the shared n-grams on either side, the latter by hash range."""
     slots = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sets.rdd.getNumPartitions())
 
     def send(batches):
@@ -287,7 +288,7 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pd.DataFrame(rows, columns=["block", "grams", "counts"])
 
     def prefixes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["gram", "class_id", "n", "place", "after"]
+        names = ["gram", "class_id", "n", "place", "before", "after"]
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=names)
         grams = np.concatenate([np.frombuffer(g, "<u8") for g in right["grams"]])
@@ -311,12 +312,12 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             after = np.bincount(ranges[lone:], minlength=RANGES)
             for place in range(lone, length):
                 after[ranges[place]] -= 1
-                rows.append((int(ordered[place].astype(np.int64)), class_id, n, place, after.copy()))
+                rows.append((int(ordered[place].astype(np.int64)), class_id, n, place, place - lone, after.copy()))
         return pd.DataFrame(rows, columns=names)
 
     packs = sets.mapInArrow(send, "slot int, block long, grams binary, counts binary")
     counted = packs.groupBy("slot").applyInPandas(count, "block long, grams binary, counts binary")
-    schema = "gram long, class_id long, n int, place int, after array<int>"
+    schema = "gram long, class_id long, n int, place int, before int, after array<int>"
     found = sets.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, schema)
     return write_out(found, "postings")
 
@@ -327,7 +328,8 @@ def _may_link(a: str, b: str, percent: int):
     # 100 o >= p (n + m - o), so the overlap is at least p (n + m) / (100 + p).
     enough = lambda overlap: overlap * (100 + percent) >= (n + m) * percent
     length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    before = F.least(f"{a}.place", f"{b}.place") + 1
+    # N-grams that no other set has come first and match nothing: they count for the sizes only.
+    before = F.least(f"{a}.before", f"{b}.before") + 1
     rest = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) - 1
     ranges = sum(
         (F.least(F.col(f"{a}.after")[k], F.col(f"{b}.after")[k]) for k in range(RANGES)), F.lit(0)
@@ -379,14 +381,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 def similar_components(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of the classes that are linked, from their postings."""
-    leaders = found.groupBy("gram").agg(F.min(F.struct("class_id", "n", "place", "after")).alias("lead"))
+    leaders = found.groupBy("gram").agg(F.min(F.struct("class_id", "n", "place", "before", "after")).alias("lead"))
     pairs = write_out(_pairs(leaders.select("gram", "lead.*"), found, percent=percent), "pairs")
     links = write_out(verify(pairs, sets, percent), "links")
     compared, linked = pairs, links.count()
     while True:
         groups = connected_components(links)
         placed = found.join(groups, F.col("class_id") == F.col("node"), "left").select(
-            "gram", "class_id", "n", "place", "after", F.coalesce("component", "class_id").alias("component")
+            "gram", "class_id", "n", "place", "before", "after", F.coalesce("component", "class_id").alias("component")
         )
         sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("rows"))
         lists = sizes.groupBy("gram").agg(
@@ -408,7 +410,7 @@ def similar_components(found: DataFrame, sets: DataFrame, percent: int = PERCENT
             fresh = _pairs(outside, open_lists, apart & once, percent)
         else:  # one more leader of each list meets all others
             lead = outside.groupBy("gram").agg(
-                F.min(F.struct("class_id", "n", "place", "after", "component")).alias("lead"))
+                F.min(F.struct("class_id", "n", "place", "before", "after", "component")).alias("lead"))
             fresh = _pairs(lead.select("gram", "lead.*"), open_lists, apart, percent)
         fresh = write_out(fresh.join(compared, ["a", "b"], "left_anti"), "pairs")
         more = write_out(verify(fresh, sets, percent), "links")
