@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PIECE_BYTES = 4 << 20  # text handled at once; one longer document is a piece of its own
 PIECE_ROWS = 4096
@@ -63,3 +63,9 @@ def filter_rows(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
                     yield batch.take(pa.array(kept, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def once(column) -> Column:
+    """The same value, but an expression that Catalyst does not copy into others. A filter or a
+    projection above would otherwise put it into the body of a lambda, to be evaluated per element."""
+    return F.when(F.rand(0) < 2, column)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._arrow import once
+
 BLOCK = 64
 
 # The base phrases and their labels.
@@ -290,14 +292,14 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     and score 0. Repeated rows get equal results; other columns of ``docs`` are not read.
     """
     rules = RULES if rules is None else rules
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced_words(F.col("text").cast("string")).alias("spaced"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), once(spaced_words(F.col("text").cast("string"))).alias("spaced"))
     rows = rows.withColumn("n_words", _count_words(F.col("spaced")))
     rows = rows.withColumns(base_columns(F.col("spaced"), F.col("n_words")))
-    rows = rows.withColumn("keywords", keywords_in(F.col("spaced"), rules))
+    rows = rows.withColumn("keywords", once(keywords_in(F.col("spaced"), rules)))
     none = F.array().cast("array<struct<rule:int,label:string,weight:double,priority:int,start:bigint,stop:bigint>>")
     some = F.size("keywords") > 0
-    rows = rows.withColumn("matches", F.when(some, _matches(F.col("spaced"), F.col("keywords"), rules)).otherwise(none))
-    rows = rows.withColumn("detections", F.when(F.size("matches") > 0, _resolved(F.col("matches"))).otherwise(none))
+    rows = rows.withColumn("matches", once(F.when(some, _matches(F.col("spaced"), F.col("keywords"), rules)).otherwise(none)))
+    rows = rows.withColumn("detections", once(F.when(F.size("matches") > 0, _resolved(F.col("matches"))).otherwise(none)))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_found")).alias("base_labels"),

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._arrow import once
+
 SPACE = " \t\n\x0b\f\r"
 FEATURES = [
     "n_words", "mean_word_chars", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "words_per_line",
@@ -66,7 +68,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     with_word = lambda line: F.btrim(line, F.lit(SPACE)) != ""
     rows = rows.select(
-        "doc_id", F.when(trimmed == "", none).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")).alias("words"),
+        "doc_id", once(F.when(trimmed == "", none).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).alias("words"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), with_word).alias("lines"),
     )
@@ -79,15 +81,15 @@ def statistics(docs: DataFrame) -> DataFrame:
         m.alias("m"), F.greatest(F.ceil(F.log2(m + 1)), F.lit(1)).cast("int").alias("bits"),
     )
     window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
-    rows = rows.withColumn("windows", F.sort_array(F.transform(
+    rows = rows.withColumn("windows", once(F.sort_array(F.transform(
         F.slice("words", F.lit(1), F.col("m")),
         lambda w, i: F.call_function("shiftleft", window(w, i), F.col("bits")).bitwiseOR(i.cast("long")),
-    )))
+    ))))
     top = lambda x: F.call_function("shiftright", x, F.col("bits"))
     beside = lambda x, i: F.coalesce(top(F.get("windows", i)) == top(x), F.lit(False))
     rows = rows.withColumn("again", F.filter("windows", lambda x, i: beside(x, i - 1) | beside(x, i + 1)))
     place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
-    rows = rows.withColumn("again", F.transform("again", place))
+    rows = rows.withColumn("again", once(F.transform("again", place)))
     covered = F.array_union(
         F.array_union("again", F.transform("again", lambda p: p + 1)), F.transform("again", lambda p: p + 2)
     )
