@@ -1,5 +1,6 @@
 import pytest
 
+from tidymill.functions import dates
 from tidymill.functions.dates import spark_pattern
 from tidymill.functions.text import java_replacement
 from tidymill.operators import columns as c
@@ -87,6 +88,24 @@ def test_dates(one, values):
     assert values(c.format_dates(df, ["v"]))[:2] == ["05/01/2020", "05/01/2020"]
 
 
+def test_dates_in_a_gap_of_the_zone(spark, one, values):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = one(["04/11/2018", "2018-11-04 00:30:00", "4 Nov 2018", "30/02/2018"])
+        got = [str(v) if v else None for v in values(c.cast_date(df, ["v"], [*dates.DATE_FORMATS, "d MMM yyyy"]))]
+        assert got == ["2018-11-04 00:00:00", "2018-11-04 00:30:00", "2018-11-04 00:00:00", None]
+        assert values(c.format_dates(df, ["v"]))[0] == "04/11/2018"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_float_text_keeps_all_digits(one, values):
+    df = one([0.00012345678901234567, 0.0001234567890123457, -0.0001, 0.00025, 12345678.901234567], "double")
+    assert values(c.cast_text(df, ["v"])) == [
+        "0.00012345678901234567", "0.0001234567890123457", "-0.0001", "0.00025", "12345678.901234567"]
+
+
 def test_date_formats_with_letters(one, values):
     df = one(["05 Jan 2020", "5.1.2020", "2020-01-05T01:02:03"])
     got = values(c.cast_date(df, ["v"], ["dd MMM yyyy", "d.M.yyyy", "yyyy-M-d'T'HH:mm:ss"]))

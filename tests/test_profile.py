@@ -70,7 +70,8 @@ def test_scan_suggest_apply(spark):
         "normalizar_texto", "unificar_valores"]
     run = suggest.apply_suggestions(df, ["id"])
     assert all(r.ok for r in run.results)
-    assert {r["nome"] for r in run.table.collect()} == {"MORAES", "", "SILVA  NETO", None}
+    assert {r["nome"] for r in run.table.collect()} == {"MORAES", "MORAIS", "", "SILVA  NETO", None}
+    assert {r["preco"] for r in run.table.collect()} == {1234.5}
     assert "vazio" not in run.table.columns
     summary = {(r["kind"], r["name"]): r["n"] for r in profile.issue_summary(issues).collect()}
     assert summary[("total", "total")] == len(ranks)
@@ -78,10 +79,20 @@ def test_scan_suggest_apply(spark):
     assert [r["number"] for r in report] == list(range(1, len(ranks) + 1))
 
 
-def test_fuzzy_columns_by_size(spark):
-    df = spark.createDataFrame([(f"name {i}", "x") for i in range(12)] + [("n", "xx")], "many string, few string")
-    assert {r["column"] for r in profile.fuzzy_column_groups(df, max_distinct=5).collect()} == {"few"}
-    assert {r["column"] for r in profile.fuzzy_column_groups(df, max_distinct=None).collect()} == {"few", "many"}
+def test_columns_of_any_size_are_compared(spark):
+    df = spark.createDataFrame([(f"name {i}", "x") for i in range(1200)] + [("n", "xx")], "many string, few string")
+    assert {r["column"] for r in profile.fuzzy_column_groups(df).collect()} == {"few", "many"}
+
+
+def test_suggestions_lose_nothing(spark):
+    amounts = ["R$ 1.234,50", "8%", "1.234,56", "-R$ 2,00", "8,125 %", ""] * 3
+    rows = [(i, a, a if i else "por volta de R$ 3") for i, a in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "id int, preco string, misto string")
+    run = suggest.apply_suggestions(df, ["id"], fuzzy=False)
+    assert all(r.ok for r in run.results)
+    got = {r["preco"] for r in run.table.collect()}
+    assert got == {1234.5, 0.08, 1234.56, -2.0, 0.08125, None}
+    assert "POR VOLTA DE R$ 3" in {r["misto"].upper() for r in run.table.collect()}
 
 
 def test_tables_without_text(spark):

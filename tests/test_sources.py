@@ -84,3 +84,30 @@ def test_convert(spark, tmp_path):
 def test_preview(spark):
     df = spark.createDataFrame([(2, None), (1, 10000000.0)], "id int, x double")
     assert [tuple(r) for r in reporting.preview(df, ["id"]).collect()] == [("1", "10000000.0"), ("2", "")]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'id;nome;v\n1;"duas\nlinhas; com ""aspas""";10\n2;x;20\n')
+    fmt = delimited.detect_format(spark, path)
+    assert fmt.multi_line and fmt.separator == ";"
+    assert [tuple(r) for r in delimited.scan(spark, path).collect()] == [(1, 'duas\nlinhas; com "aspas"', 10), (2, "x", 20)]
+    assert not delimited.detect_format(spark, write(tmp_path / "p.csv", 'id;n\n1;"a;b"\n')).multi_line
+
+
+def test_written_line_breaks_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, 'c "d", e')], "id int, n string")
+    path = reporting.write_bi_csv(df, str(tmp_path), "x")
+    assert sorted(tuple(r) for r in delimited.scan(spark, path).collect()) == [(1, "a\nb"), (2, 'c "d", e')]
+
+
+def test_separators_of_the_first_file(spark, tmp_path):
+    for k in range(8):
+        write(tmp_path / f"f{k}.csv", ("a,b,c\n" if k == 0 else "x|y\n") * 9)
+    counts = {r["separator"]: r["n"] for r in delimited.count_separators(spark, str(tmp_path)).collect()}
+    assert counts == {";": 0, ",": 10, "\t": 0, "|": 0}
+
+
+def test_batches_of_the_asked_size(spark):
+    df = spark.range(0, 25_000, 1, 1)
+    sizes = columnar.map_batches(df, lambda f: f.iloc[:1].assign(id=len(f)), "id bigint", 12_000)
+    assert sorted(r["id"] for r in sizes.collect()) == [1000, 12_000, 12_000]

@@ -192,6 +192,14 @@ add("suggest_steps",
     "\"normalizar\":true}' FROM i WHERE category = 'VALOR_SUSPEITO' UNION ALL "
     "SELECT 'normalizar_texto', '{\"colunas\":[\"' || string_agg(\"column\", '\",\"' ORDER BY \"column\") || "
     "'\"],\"modo\":\"upper\"}' FROM i WHERE category = 'TEXTO_ESPACO' HAVING count(*) > 0")
+add("apply_suggestions_spellings",
+    lambda t: suggest.apply_suggestions(t.typo_part.select("p_partkey", "name"), ["p_partkey"], columns=["name"]).table,
+    _UNIFY + "SELECT p_partkey, coalesce(canonical, upper(trim(name))) AS name FROM {typo_part} LEFT JOIN "
+    "(SELECT * FROM k WHERE members > 1) ON upper(trim(name)) = variant")
+add("apply_suggestions_money",
+    lambda t: suggest.apply_suggestions(t.money_text, ["o_orderkey"], fuzzy=False, columns=["amount"]).table,
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) "
+    "WHEN o_orderkey % 3 = 1 THEN round(o_custkey / 100.0, 6) ELSE 1000.5 + o_custkey % 1000 END AS amount FROM orders")
 add("apply_suggestions",
     lambda t: suggest.apply_suggestions(t.dirty_customer, ["c_custkey"], fuzzy=False).table,
     "SELECT c_custkey, c_nationkey, CASE WHEN upper(trim(segment)) = 'N/A' THEN '' ELSE upper(trim(segment)) END "
@@ -274,10 +282,23 @@ add("run_steps", lambda t: _run(t).table, _RECIPE_ROWS)
 
 def _history(t):
     run = _run(t, observe=True)
-    run.table.write.format("noop").mode("overwrite").save()
     return run.history().select("operation", "rows_before", "rows_after", "columns_before", "columns_after")
 
 
+def _emptied(t):
+    recipe = [
+        {"operacao": "filtrar_linhas", "params": {"condicao": "c_custkey <= 100"}},
+        {"operacao": "filtrar_linhas", "params": {"condicao": "c_custkey < 0"}},
+        {"operacao": "ordenar_por", "params": {"colunas": ["c_custkey"]}},
+        {"operacao": "manter_n_primeiras", "params": {"n": 10}},
+    ]
+    run = steps.run_steps(t.customer, recipe, order_by=["c_custkey"], observe=True)
+    return run.history().select("number", "rows_before", "rows_after")
+
+
+add("step_history_emptied", _emptied,
+    "SELECT 1 AS number, count(*) AS rows_before, count(*) FILTER (c_custkey <= 100) AS rows_after FROM customer "
+    "UNION ALL SELECT 2, count(*) FILTER (c_custkey <= 100), 0 FROM customer UNION ALL SELECT 3, 0, 0 UNION ALL SELECT 4, 0, 0")
 add("step_history", _history,
     "WITH n AS (SELECT (SELECT count(*) FROM {dirty_customer}) AS a, "
     "(SELECT count(*) FROM {dirty_customer} WHERE acctbal IS NOT NULL) AS b, "

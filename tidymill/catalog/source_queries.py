@@ -38,15 +38,28 @@ add("csv_detect_format", _detected,
         f"SELECT '{name}' AS file, '{encoding}' AS encoding, {'chr(9)' if s == chr(9) else repr(s)} AS separator"
         for name, s, encoding in _FORMATS))
 add("csv_separator_by_count",
-    lambda t: delimited.count_separators(t.spark, _csv(t, t.customer.coalesce(1).orderBy("c_custkey"), "|"), 5),
+    lambda t: delimited.count_separators(t.spark, _csv(t, t.customer, "|"), 5),
     "SELECT * FROM (VALUES (';', 0), (',', 0), (chr(9), 0), ('|', 20)) AS v(separator, n)")
 add("csv_scan",
     lambda t: delimited.scan(t.spark, _csv(t, t.customer), schema=_CUSTOMER),
     "SELECT * FROM customer")
 add("csv_scan_inferred",
-    lambda t: delimited.scan(t.spark, _csv(t, t.orders.drop("o_orderdate"), ",")),
+    lambda t: delimited.scan(t.spark, _csv(t, t.orders, ",")),
     "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, "
-    "o_totalprice, o_orderpriority FROM orders")
+    "o_totalprice, o_orderdate, o_orderpriority FROM orders")
+
+
+def _quoted(t, df):
+    path = t.fresh_path("quoted")
+    df.write.options(
+        header=True, sep=";", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
+    return path
+
+
+add("csv_scan_multiline",
+    lambda t: delimited.scan(t.spark, _quoted(t, t.documents.select("doc_id", "text")), schema="doc_id bigint, text string"),
+    "SELECT doc_id, text FROM documents")
 add("csv_scan_latin1",
     lambda t: delimited.scan(
         t.spark, _csv(t, t.nation.withColumn("n_name", F.concat("n_name", F.lit(" é ação"))), ";", "ISO-8859-1"),

@@ -24,6 +24,14 @@ for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
         f"SELECT k, c_custkey, l.name AS name_x, r.name AS name_y FROM "
         f"(SELECT c_custkey, c_nationkey AS k, segment AS name FROM {{dirty_customer}}) l {_sql} JOIN "
         f"(SELECT CAST(n_nationkey + 3 AS INTEGER) AS k, n_name AS name FROM nation) r USING (k)")
+add("equi_join_outer_split",
+    lambda t: lookup.equi_join(
+        t.dirty_customer.selectExpr("c_custkey", "c_nationkey AS k", "segment AS name"),
+        t.spark.sql("SELECT CAST(n_nationkey + 3 AS INT) AS k, n_name AS name FROM {n}", n=t.nation), "k", "outer",
+        split_hot=True),
+    "SELECT k, c_custkey, l.name AS name_x, r.name AS name_y FROM "
+    "(SELECT c_custkey, c_nationkey AS k, segment AS name FROM {dirty_customer}) l FULL JOIN "
+    "(SELECT CAST(n_nationkey + 3 AS INTEGER) AS k, n_name AS name FROM nation) r USING (k)")
 add("equi_join_null_safe",
     lambda t: lookup.equi_join(
         t.dirty_customer.select("c_custkey", "segment"),

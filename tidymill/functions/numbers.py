@@ -39,10 +39,17 @@ def text_to_number(c: Column, data_type: T.DataType) -> Column:
     return _parse(F.replace(no_dots, F.lit(","), F.lit(".")))
 
 
-def parse_br_number(c: Column, data_type: T.DataType, places: int | None = 2) -> Column:
-    """``1.234,56``, ``1234,56`` and ``1234.56`` all become 1234.56."""
+def parse_br_number(c: Column, data_type: T.DataType, places: int | None = 2, marks: bool = False) -> Column:
+    """``1.234,56``, ``1234,56`` and ``1234.56`` all become 1234.56.
+
+    With ``marks``, ``R$ 1.234,56`` does as well, and ``8%`` becomes 0.08.
+    """
     if is_text(data_type):
         text = F.replace(trim_ws(c), F.lit(" "), F.lit(""))
+        percent = F.lit(False)
+        if marks:
+            percent = text.endswith("%")
+            text = F.regexp_replace(F.regexp_replace(text, r"^([+-]?)R\$[\s\u00a0]*", "$1"), "%$", "")
         dot, comma = F.lit("."), F.lit(",")
         number = _parse(
             F.when(
@@ -52,6 +59,8 @@ def parse_br_number(c: Column, data_type: T.DataType, places: int | None = 2) ->
             .when(F.contains(text, comma), F.replace(text, comma, dot))
             .otherwise(text)
         )
+        if marks:
+            number = F.when(percent, number / 100).otherwise(number)
     else:
         number = to_number(c, data_type)
     return number if places is None else F.bround(number, places)

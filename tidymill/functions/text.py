@@ -36,11 +36,15 @@ def as_text(c: Column, data_type: T.DataType) -> Column:
     plain = c.cast("string")
     if not is_float(data_type):
         return plain
-    digits = F.regexp_replace(plain.cast("decimal(38,18)").cast("string"), r"0+$", "")
+    digits = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
     digits = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    # 1.25E-4: the point moves as text, as a decimal would cut the digits past its scale
+    shape = r"^(-?)([0-9])\.([0-9]+)E-4$"
+    moved = [F.regexp_extract(plain, shape, k) for k in (1, 2, 3)]
+    small = F.concat(moved[0], F.lit("0.000"), moved[1], F.regexp_replace(moved[2], "0+$", ""))
     size = F.abs(c)
-    spelled_out = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
-    return F.when(spelled_out, digits).otherwise(plain)
+    large = (size >= 1e7) & (size < 1e16)
+    return F.when(large, digits).when((size >= 1e-4) & (size < 1e-3), small).otherwise(plain)
 
 
 def left_text(c: Column, n: int) -> Column:

@@ -227,8 +227,8 @@ def format_dates(
     return _each(df, columns, lambda c, t: dates.format_dates(c, t, output, formats))
 
 
-def parse_br_number(df: DataFrame, columns: Iterable[str], places: int = 2) -> DataFrame:
-    return _each(df, columns, lambda c, t: numbers.parse_br_number(c, t, places))
+def parse_br_number(df: DataFrame, columns: Iterable[str], places: int = 2, marks: bool = False) -> DataFrame:
+    return _each(df, columns, lambda c, t: numbers.parse_br_number(c, t, places, marks))
 
 
 def format_br_number(df: DataFrame, columns: Iterable[str], places: int = 2) -> DataFrame:

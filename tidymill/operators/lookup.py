@@ -33,11 +33,13 @@ def equi_join(
     how: str = "left",
     suffixes: tuple[str, str] = ("_x", "_y"),
     null_safe: bool = False,
+    split_hot: bool = False,
 ) -> DataFrame:
     """Join on same-named keys; other names both sides have get the suffixes.
 
-    A full join is put together from a left join and the unmatched right rows, because the
-    adaptive skew join can split a hot key in those two but not in a full outer join.
+    A full join reads each side once. With ``split_hot`` it is put together from a left join and the
+    unmatched right rows, which read both sides twice: the adaptive skew join can split a hot key in
+    those two but not in a full outer join.
     """
     kind = JOIN_KINDS[how]
     keys = [on] if isinstance(on, str) else list(on)
@@ -58,11 +60,14 @@ def equi_join(
     if kind == "right":
         joined = own.join(other, matched, "right")
         key_of = {k: col(names[k]).alias(k) for k in keys}
+    elif kind == "outer" and not split_hot:
+        joined = own.join(other, matched, "outer")
+        key_of = {k: F.coalesce(col(k), col(names[k])).alias(k) for k in keys}
     else:
         joined = own.join(other, matched, "inner" if kind == "inner" else "left")
         key_of = {k: col(k) for k in keys}
     result = joined.select(*[key_of.get(c, col(c)) for c in own.columns], *cols(extra))
-    if kind != "outer":
+    if kind != "outer" or not split_hot:
         return result
     own_keys = own.select(*cols(keys)).distinct()
     alone = other.join(own_keys, matched, "left_anti").withColumnsRenamed({v: k for k, v in names.items()})

@@ -431,46 +431,35 @@ def profile_placeholder_values(df: DataFrame) -> DataFrame:
 
 
 def fuzzy_column_groups(
-    df: DataFrame, max_distinct: int | None = 1000, min_score: float = 0.72, use_prefix: bool = True
+    df: DataFrame, min_score: float = 0.72, use_prefix: bool = True
 ) -> DataFrame:
-    """(column, canonical, variant, n) of similar spellings in every text column.
-
-    A column with more than ``max_distinct`` values is free text rather than a list of terms and
-    is left out as a whole; None takes every column. All values of a column are compared.
-    """
-    return _similar_in_columns(text_values(df, text_columns(df)), max_distinct, min_score, use_prefix)
+    """(column, canonical, variant, n) of similar spellings in every text column, whatever its size."""
+    return _similar_in_columns(text_values(df, text_columns(df)), min_score, use_prefix)
 
 
-def _similar_in_columns(
-    values: DataFrame, max_distinct: int | None, min_score: float, use_prefix: bool
-) -> DataFrame:
-    sizes = values.groupBy(F.col("column").alias("c")).agg(F.count("*").alias("size"))
-    fitting = sizes.where((F.col("size") >= 2) & (F.lit(max_distinct is None) | (F.col("size") <= (max_distinct or 0))))
-    chosen = values.join(fitting, F.col("column") == F.col("c"), "left_semi")
-    return canonical_values(group_values(chosen, min_score, use_prefix))
+def _similar_in_columns(values: DataFrame, min_score: float, use_prefix: bool) -> DataFrame:
+    return canonical_values(group_values(values, min_score, use_prefix))
 
 
 def profile_fuzzy_groups(
-    df: DataFrame, max_distinct: int | None = 1000, min_score: float = 0.72, use_prefix: bool = True
+    df: DataFrame, min_score: float = 0.72, use_prefix: bool = True
 ) -> DataFrame:
     if not text_columns(df):
         return _no_issues(df)
-    return _fuzzy_issues(fuzzy_column_groups(df, max_distinct, min_score, use_prefix))
+    return _fuzzy_issues(fuzzy_column_groups(df, min_score, use_prefix))
 
 
 def _fuzzy_issues(members: DataFrame) -> DataFrame:
+    """Counts only: the spellings are rows of ``fuzzy_column_groups``, never gathered in one cell."""
     groups = members.groupBy("column", "canonical").agg(
-        F.array_sort(F.collect_list("variant")).alias("variants"), F.sum("n").alias("n")
+        (F.count("*") - 1).alias("variants"), F.sum("n").alias("n")
     )
     per_column = groups.groupBy("column").agg(
-        F.count("*").alias("n_groups"),
-        F.sum(F.size("variants") - 1).alias("n_variants"),
-        F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical", "variants")))).alias("found"),
+        F.count("*").alias("n_groups"), F.sum("variants").alias("n_variants"), F.sum("n").alias("n"),
     )
     issue = _issue(
         "FUZZY_MATCH", "aviso", F.col("n"), F.lit(None).cast("double"),
-        n_grupos=F.col("n_groups"), n_variantes=F.col("n_variants"), grupos=F.to_json("found"),
+        n_grupos=F.col("n_groups"), n_variantes=F.col("n_variants"),
     )
     return per_column.select(F.inline(F.array(issue)))
 
@@ -493,7 +482,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def scan_table(
-    df: DataFrame, approx: bool = False, fuzzy: bool = True, max_distinct: int | None = 1000
+    df: DataFrame, approx: bool = False, fuzzy: bool = True
 ) -> DataFrame:
     """All checks, the most severe issues first.
 
@@ -522,7 +511,7 @@ def scan_table(
     if texts:
         issues = issues.unionByName(_placeholder_issues(counted))
     if spellings is not None:
-        issues = issues.unionByName(_fuzzy_issues(_similar_in_columns(spellings, max_distinct, 0.72, True)))
+        issues = issues.unionByName(_fuzzy_issues(_similar_in_columns(spellings, 0.72, True)))
     return issues.orderBy(severity_rank(F.col("severity")).desc(), "category", "column")
 
 

@@ -10,10 +10,6 @@ from ..functions.numbers import to_number
 from ..functions.refs import col, cols, dtype
 from .order import running_total
 
-# The built-in percentile holds one entry per distinct value of a group in one task's memory.
-BUFFER_LIMIT = 2_000_000
-
-
 def _values(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]) -> DataFrame:
     """(group..., column, value) rows of the non-null numbers."""
     pairs = [
@@ -24,13 +20,6 @@ def _values(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]) -> D
     return long.where(F.col("value").isNotNull())
 
 
-def _largest_group(df: DataFrame, group_by: Sequence[str]) -> int:
-    if not group_by:
-        return df.count()
-    sizes = df.groupBy(*cols(group_by)).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def _interpolate(low: Column, high: Column, place: Column) -> Column:
     return low + (high - low) * (place - F.floor(place))
 
@@ -59,30 +48,13 @@ def _by_rank(counts: DataFrame, keys: list[str], probs: Sequence[float]) -> Data
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    group_by: Sequence[str] = (),
-    buffer_limit: int = BUFFER_LIMIT,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows (group..., column, q) with the array of exact quantiles of each numeric column.
 
-    The sizes are checked first. When no group has more than ``buffer_limit`` rows, or distinct
-    values, the built-in ``percentile`` runs, in the second case over value counts. Beyond that
-    the quantiles are read off the ranks in one distributed sort of the distinct values.
+    Equal values are counted first, on the map side; the quantiles are read off the ranks in one
+    distributed sort of what is left, so no group is held in one task, however large.
     """
     keys = [*group_by, "column"]
-    values = _values(df, columns, group_by)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    if _largest_group(df, group_by) <= buffer_limit:
-        return values.groupBy(*cols(keys)).agg(F.percentile(F.col("value"), wanted).alias("q"))
-    counts = values.groupBy(*cols(keys), "value").agg(F.count("*").alias("n"))
-    if not group_by:
-        estimate = df.agg(
-            F.greatest(F.lit(0), *[F.approx_count_distinct(to_number(col(c), dtype(df, c))) for c in columns])
-        ).first()[0]
-        if estimate * 2 <= buffer_limit:
-            return counts.groupBy(*cols(keys)).agg(
-                F.percentile(F.col("value"), wanted, F.col("n")).alias("q")
-            )
+    counts = _values(df, columns, group_by).groupBy(*cols(keys), "value").agg(F.count("*").alias("n"))
     return _by_rank(counts, keys, probs)

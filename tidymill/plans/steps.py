@@ -6,17 +6,19 @@ The run folds the steps into one lazy plan. Steps that need a bounded fact of th
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from threading import Thread
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators import aggregate, clean, columns, correlation, dedup, fuzzy, lookup, order
 
 
-HISTORY_WAIT_SECONDS = 10
+# The steps after which there may be more or fewer rows.
+ROW_STEPS = {
+    "remover_duplicatas", "remover_nulos", "filtrar_linhas", "manter_n_primeiras", "manter_n_ultimas", "juntar",
+    "agregar",
+}
 
 
 @dataclass
@@ -52,11 +54,13 @@ Step = Callable[[DataFrame, Mapping, StepContext], DataFrame]
 # Steps that make a new table. Names and parameters are the fixed values of the recipe format.
 TABLE_STEPS: dict[str, Step] = {
     "formatar_brasileiro": lambda df, p, x: columns.format_br_number(df, p["colunas"], p.get("casas", 2)),
-    "numero_interno": lambda df, p, x: columns.parse_br_number(df, p["colunas"], p.get("casas", 2)),
+    "numero_interno": lambda df, p, x: columns.parse_br_number(
+        df, p["colunas"], p.get("casas", 2), p.get("marcas", False)),
     "detectar_duplicatas": lambda df, p, x: dedup.mark_duplicates(
         df, x.order(p), p.get("colunas"), p.get("normalizar", True)),
     "remover_duplicatas": lambda df, p, x: _drop_duplicates(df, p, x),
-    "unificar_valores": lambda df, p, x: clean.unify_values(df, p["coluna"], p["mapeamento"]),
+    "unificar_valores": lambda df, p, x: clean.unify_values(
+        df, p["coluna"], x.table(p["tabela"]) if "tabela" in p else p["mapeamento"]),
     "remover_colunas_vazias": lambda df, p, x: clean.drop_empty_columns(df, p.get("limiar", 1.0)),
     "preencher_nulos": lambda df, p, x: clean.fill_nulls(df, p["estrategias"]),
     "remover_nulos": lambda df, p, x: clean.drop_null_rows(df, p["colunas"]),
@@ -143,7 +147,7 @@ class StepRun:
 
     table: DataFrame
     results: list[StepResult]
-    _seen: list[tuple[str, Observation, list[str], list[str]]] = field(default_factory=list)
+    _seen: list[tuple[str, DataFrame | None, list[str], list[str]]] = field(default_factory=list)
 
     def results_table(self) -> DataFrame:
         rows = [(r.number, r.operation, r.ok, r.message) for r in self.results]
@@ -152,16 +156,14 @@ class StepRun:
         )
 
     def history(self) -> DataFrame:
-        """Rows and columns before and after each step, as counted by the action that ran last.
+        """Rows and columns before and after each step, for a run with ``observe``.
 
-        The counts are gathered while the rows pass by, so this needs one action on ``table``
-        (its write, or a count) and none of its own. A count is null where that action had no
-        need to compute the rows.
+        Steps that keep every row take the count before them; each other step is counted by a job of
+        its own, so the counts are complete and alike on every call.
         """
         rows, before = [], None
-        counts = _counted([seen for _, seen, _, _ in self._seen])
-        for number, (operation, _, old, new) in enumerate(self._seen):
-            after = counts[number]
+        for number, (operation, table, old, new) in enumerate(self._seen):
+            after = before if table is None else table.count()
             if number:
                 added = [c for c in new if c not in old]
                 removed = [c for c in old if c not in new]
@@ -174,28 +176,6 @@ class StepRun:
         )
 
 
-def _counted(observations: Sequence[Observation]) -> list[int | None]:
-    """The observed row counts. ``Observation.get`` waits for ever for a point that the action had
-    no need to compute, so it is asked on the side and given up after a while."""
-    counts: list[int | None] = [None] * len(observations)
-
-    def ask(i: int) -> None:
-        counts[i] = observations[i].get["rows"]
-
-    threads = [Thread(target=ask, args=(i,), daemon=True) for i in range(len(observations))]
-    for thread in threads:
-        thread.start()
-    deadline = time.monotonic() + HISTORY_WAIT_SECONDS
-    for thread in threads:
-        thread.join(max(0.0, deadline - time.monotonic()))
-    return counts
-
-
-def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 def run_steps(
     df: DataFrame,
     steps: Sequence[Mapping],
@@ -207,14 +187,12 @@ def run_steps(
     """Apply the steps in order. A step that cannot be planned is reported and skipped, or raised
     with ``on_error="raise"``; a failure while rows are computed surfaces at the action.
 
-    ``observe`` counts the rows between steps for ``history()``; an observed point also keeps
-    filters of later steps from moving past it.
+    ``observe`` keeps the table after each step for ``history()``, which counts it when asked.
     """
     context = StepContext(dict(tables or {}), order_by)
     results, seen = [], []
     if observe:
-        df, counted = _observed(df)
-        seen.append(("", counted, df.columns, df.columns))
+        seen.append(("", df, df.columns, df.columns))
     for number, step in enumerate(steps, 1):
         operation, params = step.get("operacao", ""), step.get("params") or {}
         before = df.columns
@@ -235,6 +213,5 @@ def run_steps(
             result = StepResult(number, operation, False, text.splitlines()[0] if text else type(error).__name__)
         results.append(result)
         if observe and result.ok and operation in TABLE_STEPS:
-            df, counted = _observed(df)
-            seen.append((operation, counted, before, df.columns))
+            seen.append((operation, df if operation in ROW_STEPS else None, before, df.columns))
     return StepRun(df, results, seen)

@@ -34,12 +34,21 @@ def map_batches(
     df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
     chunk_rows: int = 100_000,
 ) -> DataFrame:
-    """Run a pandas function over bounded pieces of the table, on the executors."""
+    """Run a pandas function over pieces of ``chunk_rows`` rows (the last of a partition has fewer),
+    on the executors. Smaller Arrow batches are put together, larger ones cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for batch in batches:
-            for start in range(0, len(batch), chunk_rows):
-                yield function(batch.iloc[start:start + chunk_rows])
+            while len(batch):
+                part, batch = batch.iloc[:chunk_rows - rows], batch.iloc[chunk_rows - rows:]
+                held.append(part)
+                rows += len(part)
+                if rows == chunk_rows:
+                    yield function(pd.concat(held, ignore_index=True))
+                    held, rows = [], 0
+        if held:
+            yield function(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(run, schema)
 

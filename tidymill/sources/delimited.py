@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,21 +24,41 @@ UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 class TextFormat:
     encoding: str
     separator: str
+    multi_line: bool = False  # a quoted field holds a line break; such files cannot be split
+
+
+def _whole_files(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether a quoted field goes on in the next line; one pass on the executors."""
+    marks = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    valid, broken = spark.read.text(path).agg(
+        F.min(F.is_valid_utf8("value")), F.max(marks % 2 == 1)
+    ).first()
+    return LATIN1 if valid is False else UTF8, bool(broken)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 when every line of every file is valid UTF-8, else Latin-1. Reads on the executors."""
-    valid = spark.read.text(path).agg(F.min(F.is_valid_utf8("value"))).first()[0]
-    return LATIN1 if valid is False else UTF8
+    return _whole_files(spark, path)[0]
+
+
+def _head(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first lines of the first file by name that holds any."""
+    files = sorted(spark.read.text(path).inputFiles())
+    for name in files:
+        plain = unquote(name) if name.startswith("file:") else name
+        head = spark.read.text(plain).limit(n)
+        if len(files) == 1 or not head.isEmpty():
+            return head
+    return spark.read.text(path).limit(n)
 
 
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    return [r["value"].lstrip("﻿") for r in spark.read.text(path).limit(n).collect()]
+    return [r["value"].lstrip("﻿") for r in _head(spark, path, n).collect()]
 
 
 def count_separators(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
     """Rows ``(separator, n)``: how often each candidate occurs in the first lines."""
-    head = spark.read.text(path).limit(lines)
+    head = _head(spark, path, lines)
     counts = [
         F.struct(
             F.lit(s).alias("separator"),
@@ -59,25 +80,28 @@ def separator_by_count(spark: SparkSession, path: str) -> str | None:
 
 
 def detect_format(spark: SparkSession, path: str) -> TextFormat:
-    """Encoding from all bytes; separator from the header, else by count, else ``;``."""
-    encoding = detect_encoding(spark, path)
+    """Encoding and line breaks in fields from all bytes; separator from the header, else by count,
+    else ``;``. Detect once per table and pass the result on: this reads the files whole."""
+    encoding, multi_line = _whole_files(spark, path)
     header = _first_lines(spark, path, 1)
     if not header:
         raise ValueError(f"no encoding or separator can be told from an empty file: {path}")
     for separator in FIRST_CHOICES:
         if len(next(csv.reader(header, delimiter=separator), [])) > 1:
-            return TextFormat(encoding, separator)
-    return TextFormat(encoding, separator_by_count(spark, path) or FIRST_CHOICES[0])
+            return TextFormat(encoding, separator, multi_line)
+    return TextFormat(encoding, separator_by_count(spark, path) or FIRST_CHOICES[0], multi_line)
 
 
 def _reader(spark: SparkSession, fmt: TextFormat):
     return spark.read.options(
-        header=True, sep=fmt.separator, encoding=fmt.encoding, mode="PERMISSIVE", escape='"'
+        header=True, sep=fmt.separator, encoding=fmt.encoding, mode="PERMISSIVE", escape='"',
+        multiLine=fmt.multi_line,
     )
 
 
 def list_columns(spark: SparkSession, path: str, fmt: TextFormat | None = None) -> list[str]:
-    """The trimmed header names; only the first line is read."""
+    """The trimmed header names. With a ``fmt`` only the first line is read, else the format is
+    detected first."""
     return [c.strip() for c in _reader(spark, fmt or detect_format(spark, path)).csv(path).columns]
 
 
@@ -91,7 +115,9 @@ def scan(
 ) -> DataFrame:
     """Read delimited text. Long lines lose their surplus fields, short ones are filled with nulls.
 
-    Without a ``schema`` the types are inferred, at the cost of one more pass over the files.
+    Without a ``fmt`` the format is detected, and without a ``schema`` the types are inferred, each at
+    the cost of one more pass over the files. Line breaks and separators inside quotes belong to the
+    field; only files that hold such line breaks are read unsplit.
     ``types`` casts columns to ``numero`` (a number or null), ``texto`` or ``data`` (kept as
     text). When it covers all wanted columns nothing is inferred.
     """
