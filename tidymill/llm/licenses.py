@@ -328,25 +328,25 @@ texts AS (
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
   FROM documents),
 spaced AS (
-  SELECT row_no, doc_id, words, len(words) AS n_words,
+  SELECT row_no, doc_id, len(words) AS n_words,
          list_aggregate(list_transform(words, lambda w: ' ' || w || ' '), 'string_agg', '') AS spaced FROM texts),
+base_parts AS (
+  SELECT row_no, label, size, [(len(g) - len(replace(g, ' ', ''))) // 2 for g in
+         string_split(spaced, ' ' || replace(phrase, ' ', '  ') || ' ')] AS gaps
+  FROM spaced, base WHERE contains(spaced, ' ' || replace(phrase, ' ', '  ') || ' ')),
 base_hits AS (
-  SELECT row_no, place, label FROM
-    (SELECT row_no, words, unnest(range(len(words))) AS place FROM spaced
-     WHERE list_contains(words, 'license') OR list_contains(words, 'nc')), base
-  WHERE list_aggregate(words[place + 1 : place + size], 'string_agg', ' ') = phrase
-    AND place + size <= len(words)),
-tried AS (SELECT * FROM spaced JOIN rules ON list_has_all(words, needs)
+  SELECT row_no, label, unnest(list_transform(range(1, len(gaps)), lambda k: list_sum(gaps[1:k]) + (k - 1) * size)) AS place
+  FROM base_parts),
+tried AS (SELECT row_no, spaced, rule, label, weight, priority, pattern
+          FROM spaced JOIN rules ON len(list_filter(needs, lambda n: NOT contains(spaced, ' ' || n || ' '))) = 0
           WHERE regexp_matches(spaced, pattern)),
 parts AS (SELECT row_no, rule, label, weight, priority,
-          string_split_regex(spaced, pattern) AS gaps, regexp_extract_all(spaced, pattern) AS hits FROM tried),
-places AS (SELECT row_no, rule, label, weight, priority, unnest(range(1, len(hits) + 1)) AS k, gaps, hits FROM parts),
-matches AS (
-  SELECT row_no, rule, label, weight, priority,
-    CAST((list_sum([len(g) - len(replace(g, ' ', '')) for g in gaps[1:k]])
-      + coalesce(list_sum([len(h) - len(replace(h, ' ', '')) for h in hits[1:k - 1]]), 0)) / 2 AS BIGINT) AS start,
-    CAST((len(hits[k]) - len(replace(hits[k], ' ', ''))) / 2 AS BIGINT) AS size
-  FROM places),
+          [(len(g) - len(replace(g, ' ', ''))) // 2 for g in string_split_regex(spaced, pattern)] AS gaps,
+          [(len(h) - len(replace(h, ' ', ''))) // 2 for h in regexp_extract_all(spaced, pattern)] AS sizes FROM tried),
+places AS (SELECT row_no, rule, label, weight, priority, unnest(list_transform(range(1, len(sizes) + 1), lambda k:
+           struct_pack(start := list_sum(gaps[1:k]) + coalesce(list_sum(sizes[1:k - 1]), 0), size := sizes[k]))) AS found FROM parts),
+matches AS (SELECT row_no, rule, label, weight, priority, CAST(found.start AS BIGINT) AS start,
+            CAST(found.size AS BIGINT) AS size FROM places),
 kept AS (
   SELECT * FROM matches a WHERE NOT EXISTS (
     SELECT 1 FROM matches b WHERE b.row_no = a.row_no AND b.start <= a.start AND b.start + b.size >= a.start + a.size
