@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-PIECE_BYTES = 4 << 20  # text handled at once; one longer document is a piece of its own
+PIECE_BYTES = 2 << 20  # text handled at once; one longer document is a piece of its own
 PIECE_ROWS = 4096
 
 

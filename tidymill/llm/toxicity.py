@@ -51,7 +51,7 @@ class Settings:
     steps: int = 400
     batch: int = 128
     rate: float = 0.01
-    cached_words: int = 200_000
+    cached_words: int = 120_000
 
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
