@@ -93,6 +93,15 @@ def test_odd_documents(spark):
     assert by_id(kept.select("doc_id")) == [(None,), *sorted([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13)], key=lambda r: str(r[0]))]
 
 
+def test_an_id_with_two_texts_links_by_either(spark):
+    rng = np.random.default_rng(8)
+    one, two = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    rows = [(5, one), (5, two), (6, one + " x"), (7, two + " y"), (8, two + " y"), (9, "other words entirely of its own")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(table).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 5), (9, 9)}
+
+
 def test_no_documents(spark):
     assert ngram_join.near_duplicates(no_documents(spark)).count() == 0
     assert ngram_join.keep_one(no_documents(spark)).count() == 0

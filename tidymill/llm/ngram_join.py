@@ -229,21 +229,25 @@ def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         # A repeated id with another text is another class: the digest tells.
-        wanted: dict[int, bytes] = {}
+        waiting: dict[int, tuple[int, bytes]] = {}
 
-        def remember():
+        def numbered():
+            at = 0
             for batch in batches:
-                wanted.update(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-                yield batch.select([0, 1])
-
-        def finish(number, ids, sets):
-            kept = [(i, s) for i, s in zip(ids, sets) if digest(s) == bytes(wanted[i])]
+                rows = range(at, at + batch.num_rows)
+                waiting.update(zip(rows, zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(1)], names=["row", "text"])
+                at += batch.num_rows
+
+        def finish(number, rows, sets):
+            asked = [waiting.pop(row) for row in rows]
+            kept = [(i, s) for (i, wanted), s in zip(asked, sets) if digest(s) == bytes(wanted)]
             own = np.array([i for i, _ in kept], "<i8")
             sizes = np.array([len(s) for _, s in kept], "<i4")
             flat = np.concatenate([s for _, s in kept]) if kept else np.zeros(0, np.uint64)
             return (_block_name(number), own.tobytes(), sizes.tobytes(), flat.astype("<u8").tobytes())
 
-        for row in _blocks(remember(), finish):
+        for row in _blocks(numbered(), finish):
             yield _rows(_SETS, [row], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     blocks = source.mapInArrow(run, "block long, class_ids binary, sizes binary, hashes binary")
@@ -426,8 +430,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ``component_id`` is the smallest id reachable by links of at least ``percent`` Jaccard similarity,
     the row's own included; ``class_id`` the smallest id with the very same set. Null texts and texts
-    without words have no n-gram and link with nothing. Repeated rows are rows of one class each;
-    rows without an id are left out. Other columns are not read, an empty table gives an empty one.
+    without words have no n-gram and link with nothing. Repeated rows are rows of one class each; an id
+    with several texts is one document that links by any of them; rows without an id are left out. Other columns are not read, an empty table gives an empty one.
     """
     rows = document_sets(docs)
     classes = rows.where("n > 0").groupBy("digest").agg(
