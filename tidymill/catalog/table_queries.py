@@ -174,11 +174,16 @@ add("corr_spearman",
     "WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, "
     "rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) "
     "SELECT round(corr(a, b), 8) AS result FROM r")
-add("corr_kendall",
-    lambda t: correlation.corr_kendall(t.customer, "c_nationkey", "c_acctbal").select(F.round("result", 8).alias("result")),
+_KENDALL = (
     "WITH p AS (SELECT sign(x.c_nationkey - y.c_nationkey) AS a, sign(x.c_acctbal - y.c_acctbal) AS b "
     "FROM customer x JOIN customer y ON x.c_custkey < y.c_custkey) "
     "SELECT round(sum(a * b) / sqrt(CAST(sum(abs(a)) AS DOUBLE) * sum(abs(b))), 8) AS result FROM p")
+for _name, _rows in (("corr_kendall", None), ("corr_kendall_blocked", 100)):
+    add(_name,
+        lambda t, k=_rows: correlation.corr_kendall(
+            t.customer, "c_nationkey", "c_acctbal", **({"block_rows": k} if k else {})
+        ).select(F.round("result", 8).alias("result")),
+        _KENDALL)
 add("corr_methods_agree",
     lambda t: correlation.correlate(t.lineitem, "l_quantity", "l_quantity", "kendall").select(F.round("result", 8).alias("result")),
     "SELECT round(corr(l_quantity, l_quantity), 8) AS result FROM lineitem")

@@ -18,7 +18,7 @@ from ..scratch import write_out
 from .order import global_row_index, running_total
 
 # Rows of one Kendall block: what one task sorts in memory.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 50_000
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
