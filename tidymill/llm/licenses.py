@@ -284,7 +284,7 @@ def _resolved(matches: Column) -> Column:
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Every row of ``docs`` with an id and a text as ``doc_id, n_words, n_base, first_word, last_word,
+    """Every row of ``docs`` as ``doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, detections``.
 
     ``detections`` are the matches that stay: ``rule, label, weight, priority, start, stop`` in words.
