@@ -84,6 +84,18 @@ def test_warc_derivatives_agree_with_sql(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_pages_of_adjacent_block_tags(spark):
+    pages = [
+        (1, "u", "a" + "<br>" * 100_000 + "b"), (2, "u", "<table>" + "<tr><td> </td><td></td></tr>\n" * 17_000 + "</table>"),
+        (3, "u", "a <p> &nbsp; </p> <p>b&nbsp;<br> c" + "\n" * 100_000),
+    ]
+    records = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).cache()
+    names, want = sql_rows(warc.derivatives_sql(), "pages", "page_id BIGINT, url VARCHAR, html VARCHAR", pages)
+    assert by_id(records.selectExpr("*", "sha2(CAST(record AS BINARY), 256) AS record_sha256").select(*names)) == want
+    text = {r["page_id"]: r["block"] for r in records.where("warc_type = 'conversion'").collect()}
+    assert text == {1: "a\nb", 2: "", 3: "a\nb\nc"}
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
     records = warc.derive(warc.responses(pages))

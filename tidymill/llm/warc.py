@@ -48,7 +48,8 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[\x09-\x0D]+", " "), BLOCKS, "\n")
     text = _decoded(F.regexp_replace(text, TAGS, ""))
-    text = F.regexp_replace(F.regexp_replace(text, " +", " "), "( ?\n ?)+", "\n")
+    # No repeated group here: Java matches one recursively, and a large empty table would end the executor.
+    text = F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
