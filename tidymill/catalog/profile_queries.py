@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, columns, fuzzy, lineage, profile, validate
 from ..plans import steps, suggest
 from .column_queries import dice_sql, edit_sql, root_sql
-from .registry import add
+from .registry import QUERIES, VIEWS, add
 
 _SHOWN = ("category", "column", "severity", "n_rows", "pct")
 _DIRTY = ("c_custkey", "c_nationkey", "segment", "acctbal", "acctbal_text", "empty_col", "code_like")
@@ -205,6 +205,56 @@ add("apply_suggestions",
     "SELECT c_custkey, c_nationkey, CASE WHEN upper(trim(segment)) = 'N/A' THEN '' ELSE upper(trim(segment)) END "
     "AS segment, acctbal, acctbal_text, code_like FROM {dirty_customer}")
 
+# The same with the check of spellings, which the five above leave out as their SQL does.
+def _in_views(sql: str) -> str:
+    for view, text in VIEWS.items():
+        sql = sql.replace("{" + view + "}", f"({text})")
+    return sql
+
+
+def _similar(column: str) -> str:
+    """The issue of a column: rows whose value has a like one. Most show by their first two characters."""
+    score = _ANY_SCORE.replace("x.v", "p.a").replace("y.v", "p.b")
+    return (
+        f"SELECT * FROM (WITH v AS (SELECT upper(trim({column})) AS v, count(*) AS n FROM {{dirty_customer}} "
+        f"WHERE {column} IS NOT NULL GROUP BY 1), "
+        "s AS (SELECT v, n, length(v) > 1 AND count(*) OVER (PARTITION BY substr(v, 1, 2)) > 1 AS known FROM v), "
+        "p AS (SELECT x.v, least(x.v, y.v) AS a, greatest(x.v, y.v) AS b FROM s x JOIN s y ON x.v <> y.v WHERE NOT x.known) "
+        f"SELECT 'FUZZY_MATCH' AS category, '{column}' AS \"column\", 'aviso' AS severity, CAST(sum(n) AS BIGINT) AS n_rows, "
+        f"CAST(NULL AS DOUBLE) AS pct FROM s WHERE known OR v IN (SELECT v FROM p WHERE {score}) HAVING count(*) > 0)"
+    )
+
+
+def _unified(column: str) -> str:
+    values = _VALUES.replace("name", column).replace("{typo_part}", f"{{dirty_customer}} WHERE {column} IS NOT NULL")
+    return f"(SELECT * FROM ({_UNIFY.replace(_VALUES, values)} SELECT variant, canonical FROM k WHERE members > 1))"
+
+
+_ALL_SPELLED = " UNION ALL ".join([_ALL, *[_similar(c) for c in _TEXTS]])
+
+
+def _scan_spelled(t):
+    return profile.scan_table(t.dirty_customer)
+
+
+add("scan_table_spellings", lambda t: _shown(_scan_spelled(t)), _ALL_SPELLED)
+add("issue_summary_spellings",
+    lambda t: profile.issue_summary(_scan_spelled(t)), QUERIES["issue_summary"].sql.replace(_in_views(_ALL), _ALL_SPELLED))
+add("issue_report_spellings",
+    lambda t: profile.issue_report(_scan_spelled(t)).select(F.col("number").cast("bigint"), *_SHOWN),
+    QUERIES["issue_report"].sql.replace(_in_views(_ALL), _ALL_SPELLED))
+add("suggest_steps_spellings",
+    lambda t: suggest.suggest_steps(_scan_spelled(t)).select("operation", "params"),
+    QUERIES["suggest_steps"].sql.replace(_in_views(_ALL), _ALL_SPELLED)
+    + " UNION ALL SELECT 'unificar_valores', '{\"coluna\":\"' || \"column\" || '\",\"tabela\":\"unificar:' || \"column\" "
+    "|| '\"}' FROM i WHERE category = 'FUZZY_MATCH'")
+add("apply_suggestions_dirty_spellings",
+    lambda t: suggest.apply_suggestions(t.dirty_customer, ["c_custkey"]).table,
+    "SELECT c_custkey, c_nationkey, coalesce(s.canonical, CASE WHEN upper(trim(segment)) = 'N/A' THEN '' "
+    "ELSE upper(trim(segment)) END) AS segment, acctbal, coalesce(a.canonical, acctbal_text) AS acctbal_text, code_like "
+    f"FROM {{dirty_customer}} LEFT JOIN {_unified('segment')} s ON upper(trim(segment)) = s.variant "
+    f"LEFT JOIN {_unified('acctbal_text')} a ON upper(trim(acctbal_text)) = a.variant")
+
 # ---- validation and lineage
 add("validate_table",
     lambda t: validate.validate_table(t.dirty_customer, ["segment", "absent"], 100),
