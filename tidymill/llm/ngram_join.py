@@ -425,6 +425,21 @@ def similar_components(found: DataFrame, sets: DataFrame, percent: int = PERCENT
         compared = compared.unionByName(fresh)
 
 
+def _joined_by_ids(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The components, and as one those of classes that hold texts of the same id."""
+    names = classes.select(F.col("digest").alias("named"), "class_id")
+    held = rows.where("n > 0").join(names, F.col("digest") == F.col("named")).select("doc_id", "class_id")
+    several = held.groupBy(F.col("doc_id").alias("id")).agg(
+        F.min("class_id").alias("a"), F.max("class_id").alias("last")
+    ).where(F.col("a") < F.col("last")).select("id", "a")
+    several = write_out(several, "ids")
+    if several.isEmpty():
+        return groups
+    same = held.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("class_id").alias("b"))
+    edges = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return connected_components(edges.unionByName(same).distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of every row with an id.
 
@@ -441,6 +456,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hopeful = classes.where(F.col("shared") * 100 >= F.col("n") * percent).select("class_id", "digest")
     sets = class_sets(docs, hopeful)
     groups = similar_components(postings(sets, percent), sets, percent)
+    groups = _joined_by_ids(groups, rows, classes)
     named = classes.select("digest", "class_id").join(
         groups, F.col("class_id") == F.col("node"), "left"
     ).select(F.col("digest").alias("named"), "class_id", F.coalesce("component", "class_id").alias("component"))
@@ -454,9 +470,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of similar documents, the one with the smallest id; all columns kept.
 
-    Repeated rows are copies, of which one stays. Rows without an id cannot be told apart and stay.
+    Repeated rows are copies, of which one stays. An id with several texts stays or goes with all of
+    them. Rows without an id count as documents after all others, told apart by a hash of their text;
+    those without words are like nothing, and all stay.
     """
-    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()), percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    text = F.col("text").cast("string")
+    by_text = F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    unnamed = F.when(text.rlike(r"[^\x20\x09-\x0D]"), by_text)
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    groups = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent)
+    # A row without words is a component of its own, but the document goes with its other texts.
+    kept = groups.groupBy(F.col("doc_id").alias("__kept")).agg(F.min("component_id").alias("first"))
+    kept = kept.where(F.col("__kept") == F.col("first")).select("__kept")
+    first = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key", "text"])
+    return first.unionByName(keyed.where(F.col("__key").isNull())).drop("__key")
