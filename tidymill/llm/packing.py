@@ -2,8 +2,9 @@
 
 1. Every document is tokenized where it is read and cut into full windows and one remainder. Only
    the pieces' places, lengths and checksums go on (their ids too if asked for).
-2. Pieces are dealt by a hash into groups of a few thousand, as many groups as the table needs, so
-   neither a source nor a long document makes a large one. The table of pieces is written once, so
+2. Pieces are dealt by a hash of all they hold and a number written with them into groups of a few
+   thousand, as many groups as the table needs, so neither a source nor a long document nor rows
+   without an id make a large one. The table of pieces is written once, so
    that the count which sets the number of groups and the packing see the same rows.
 3. In a group, remainders are placed longest first. The leaves of a segment tree stand for the
    capacity that open windows have left, and hold how many do; the tightest open window that fits is
@@ -29,6 +30,7 @@ from .byte_tokens import encoder
 GROUP_PIECES = 8192
 WINDOW = 1024
 END_ID = 0
+NUMBER = "__number"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -120,11 +122,13 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GRO
     """Give each piece a ``sequence_id`` and an ``offset``; other columns pass through.
 
     ``pieces`` must be a written table (it is read twice). Sequence ids are unique, not consecutive.
+    A column ``NUMBER`` tells equal pieces apart and is left out.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    kept = [c for c in pieces.columns if c != NUMBER]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema]
     schema = ", ".join([*fields, "sequence_id long", "offset long"])
-    names = [*pieces.columns, "sequence_id", "offset"]
+    names = [*kept, "sequence_id", "offset"]
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -133,7 +137,8 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GRO
         frame["offset"] = offsets
         return frame[names]
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    told_by = ["doc_id", "start", "ids_crc32", "doc_tokens", *({NUMBER} & set(pieces.columns))]
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*told_by), F.lit(groups))).drop(NUMBER)
     return dealt.groupBy("__group").applyInPandas(place, schema)
 
 
@@ -146,4 +151,5 @@ def pack(
     Every id of every document lies in one piece. Repeated rows are packed once each, a null
     ``doc_id`` stays null, an empty table gives an empty one; other columns of ``docs`` are not read.
     """
-    return pack_pieces(write_out(cut(docs, path, window, end_id, with_ids), "pieces"), window, group_pieces)
+    pieces = cut(docs, path, window, end_id, with_ids).withColumn(NUMBER, F.monotonically_increasing_id())
+    return pack_pieces(write_out(pieces, "pieces"), window, group_pieces)
