@@ -12,7 +12,8 @@ those that begin in its own block of ``BLOCK`` words or the one before; no rule
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -175,6 +176,30 @@ def compiled(pattern: str) -> str:
     return " " + pattern.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
 
 
+def required_words(pattern: str) -> frozenset[str]:
+    """The words that every match of the pattern holds."""
+    group = re.search(r"\(\?:([^()]*)\)(\??)", pattern)
+    if group:
+        forms = group[1].split("|") + [""] * bool(group[2])
+        return frozenset.intersection(*[
+            required_words(pattern[: group.start()] + form + pattern[group.end() :]) for form in forms
+        ])
+    plain = pattern.replace(":?", "")
+    before, optional, after = plain.partition(" ?")
+    if optional:
+        return required_words(f"{before} {after}") & required_words(before + after)
+    return frozenset(plain.split())
+
+
+def gated(rule: Rule) -> Rule:
+    """The rule without the keywords that a match can lack; without any it is tried on every text."""
+    held = required_words(rule.pattern)
+    return replace(rule, needs=tuple(w for w in rule.needs if w in held))
+
+
+GATED = [gated(r) for r in RULES]
+
+
 def spaced_words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased, each with a space on either side."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -291,13 +316,13 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     ``labels`` adds theirs to the base phrases' labels. Null and empty texts have no words, no labels
     and score 0. Repeated rows get equal results; other columns of ``docs`` are not read.
     """
-    rules = RULES if rules is None else rules
+    rules = GATED if rules is None else [gated(r) for r in rules]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), once(spaced_words(F.col("text").cast("string"))).alias("spaced"))
     rows = rows.withColumn("n_words", _count_words(F.col("spaced")))
     rows = rows.withColumns(base_columns(F.col("spaced"), F.col("n_words")))
     rows = rows.withColumn("keywords", once(keywords_in(F.col("spaced"), rules)))
     none = F.array().cast("array<struct<rule:int,label:string,weight:double,priority:int,start:bigint,stop:bigint>>")
-    some = F.size("keywords") > 0
+    some = (F.size("keywords") > 0) | F.lit(any(not r.needs for r in rules))
     rows = rows.withColumn("matches", once(F.when(some, _matches(F.col("spaced"), F.col("keywords"), rules)).otherwise(none)))
     rows = rows.withColumn("detections", once(F.when(F.size("matches") > 0, _resolved(F.col("matches"))).otherwise(none)))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
