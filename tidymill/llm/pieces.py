@@ -35,6 +35,7 @@ SPACE = "▁"
 CACHED_CHUNKS = 250_000  # cuts of text whose ids a worker remembers; it starts anew beyond
 LONGEST_CACHED = 48
 CACHED_PAIRS = 1_000_000
+LONGEST_LISTED = 4096  # characters of a text whose matches are listed at once
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6  # kinds of piece in the model file
 
 
@@ -97,54 +98,69 @@ class Codec:
         for name, i in self.ids.items():
             self.automaton.add_word(name[::-1], i)
         self.automaton.make_automaton()
-        held = {c for name in self.ids for c in name}
+        self.characters = held = {c for name in self.ids for c in name}
         if any(c not in self.ids for c in held):
             raise ValueError("every character of a piece must be a piece")
         across = any(b == SPACE != a for name in self.ids for a, b in zip(name, name[1:]))
         loose = re.escape("".join(c for c in "\n\t\r\x0b\x0c" if c not in held))
         self.cuts = re.compile(".+" if across or not loose else f"{SPACE}+[^{SPACE}{loose}]*|[{loose}]|[^{SPACE}{loose}]+", re.S)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined text of two pieces gives these two; ``left`` -1: the piece alone."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            pair = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
-            found = merge("".join(pair), self.scores) == pair
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = found
+        pair = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
+        found = merge("".join(pair), self.scores) == pair
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = found
         return found
 
+    def longest(self, text: str):
+        """The longest piece that starts with the last, the last but one, ... character of the text."""
+        found = self.automaton.iter(text[::-1])  # the longest comes first at each place
+        if len(text) <= LONGEST_LISTED:
+            return dict([*found][::-1])
+        pieces = array("i", bytes(4 * len(text)))
+        for place, piece in found:
+            if not pieces[place]:
+                pieces[place] = piece
+        return pieces
+
     def backtrack(self, text: str) -> list[int]:
-        """Ids of a text of characters that all are pieces."""
-        n = len(text)
-        longest, lengths, shorter = array("i", bytes(4 * n)), self.lengths, self.shorter
-        for end, piece in self.automaton.iter(text[::-1]):
-            at = n - 1 - end
-            if lengths[piece] > lengths[longest[at]] or not longest[at]:
-                longest[at] = piece
-        failed = bytearray(n // 8 + 1)
+        """Ids of a text of characters that all are pieces. Places are counted from the end of the text."""
+        lengths, shorter, pairs, longest = self.lengths, self.shorter, self.pairs, self.longest(text)
+        left = len(text)
+        failed = bytearray(left // 8 + 1)
         ids: list[int] = []
-        at, piece = 0, longest[0]
-        while at < n:
-            end = at + lengths[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(ids[-1] if ids else -1, piece):
+        last, piece = -1, longest[left - 1]
+        while left:
+            after = left - lengths[piece]
+            fits = not failed[after >> 3] >> (after & 7) & 1
+            if fits:
+                fits = pairs.get(last << 32 | piece)
+                if fits is None:
+                    fits = self.compatible(last, piece)
+            if fits:
                 ids.append(piece)
-                at = end
-                piece = longest[at] if at < n else -1
+                left, last = after, piece
+                if left:
+                    piece = longest[left - 1]
             elif shorter[piece] >= 0:
                 piece = shorter[piece]
             else:
-                failed[at >> 3] |= 1 << (at & 7)
+                failed[left >> 3] |= 1 << (left & 7)
                 piece = ids.pop()
-                at -= lengths[piece]
+                left += lengths[piece]
+                last = ids[-1] if ids else -1
         return ids
 
     def cut_ids(self, text: str) -> bytes:
         """Ids of one cut; characters that are no piece become the pieces of their bytes."""
-        ids, start, own = [], 0, self.ids
+        own = self.characters
+        if own.issuperset(text):
+            return np.array(self.backtrack(text), "<u4").tobytes()
+        ids, start = [], 0
         for i, c in enumerate(text):
             if c not in own:
                 if start < i:
