@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, embedding_dedup, langid, licenses, ngram_join, packing, pieces, quality_rules, token_counts, toxicity, warc,
+    bpe, embedding_dedup, langid, licenses, ngram_join, packing, pieces, prefix_trie, quality_rules, token_counts,
+    toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, folder, "pages")))
     return records.withColumn("record_sha256", F.sha2(F.col("record").cast("binary"), 256)).drop("block", "record")
+
+
+@query("op12_prefix_trie", prefix_trie.trie_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
