@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, embedding_dedup, langid, licenses, ngram_join, packing, pieces, prefix_trie, quality_rules, token_counts,
-    toxicity, warc,
+    bpe, embedding_dedup, langid, licenses, ngram_join, packing, pieces, prefix_trie, quality_rules, structure_repair,
+    token_counts, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_prefix_trie", prefix_trie.trie_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+@query("op13_structure_repair", structure_repair.repair_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_repair.damage_and_repair(table(spark, folder, "conversations"))
