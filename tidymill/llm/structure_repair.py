@@ -521,17 +521,17 @@ WITH RECURSIVE source AS (
     SELECT p.k, min({{'cost': p.best.cost + t.price, 'audit': p.best.audit || t.letters}}) AS best
     FROM paths p JOIN counts c ON c.k = p.k AND c.n = p.i JOIN tails t ON t.state = p.state GROUP BY p.k
 ), letters AS (
-    SELECT k, at, substr(best.audit, at::INT, 1) AS letter,
-        length(replace(left(best.audit, at::INT), 'I', '')) AS i
-    FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS at FROM solved)
+    SELECT k, pos, substr(best.audit, pos::INT, 1) AS letter,
+        length(replace(left(best.audit, pos::INT), 'I', '')) AS i
+    FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS pos FROM solved)
 ), lines AS (
-    SELECT l.k, at, letter, role, text, row_number() OVER w AS m,
+    SELECT l.k, pos, letter, role, text, row_number() OVER w AS m,
         max(CASE WHEN letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.k) AS headed
     FROM letters l LEFT JOIN numbered r ON r.k = l.k AND r.i = l.i AND letter <> 'I' WHERE letter <> 'D'
-    WINDOW w AS (PARTITION BY l.k ORDER BY at)
+    WINDOW w AS (PARTITION BY l.k ORDER BY pos)
 ), repaired AS (
     SELECT k, string_agg(CASE WHEN letter = 'K' THEN role WHEN (m - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END
-        || ':' || coalesce(text, ''), chr(10) ORDER BY at) AS text
+        || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS text
     FROM lines GROUP BY k
 )
 SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
