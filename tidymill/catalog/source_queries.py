@@ -9,16 +9,18 @@ from .registry import add
 _CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-def _csv(t, df, separator=";", encoding="UTF-8", label="csv"):
+def _csv(t, df, separator=";", encoding="UTF-8", label="csv", **options):
     path = t.fresh_path(label)
-    df.write.options(header=True, sep=separator, encoding=encoding, escape='"').csv(path)
+    df.write.options(header=True, sep=separator, encoding=encoding, escape='"', **options).csv(path)
     return path
 
 
-def _lines(t):
-    """Documents as one line each, with all their letters."""
-    return t.documents.select(
-        "doc_id", "lang", F.regexp_replace("text", r"[\s;,|]+", " ").alias("body"))
+_AS_IT_IS = {"quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _bodies(t):
+    """Whole texts, with the separators, quotes and line breaks they hold."""
+    return t.documents.select("doc_id", "lang", "text")
 
 
 _FORMATS = (("utf8_semicolon", ";", "UTF-8"), ("utf8_comma", ",", "UTF-8"), ("latin1_semicolon", ";", "ISO-8859-1"),
@@ -28,14 +30,16 @@ _FORMATS = (("utf8_semicolon", ";", "UTF-8"), ("utf8_comma", ",", "UTF-8"), ("la
 def _detected(t):
     found = []
     for name, separator, encoding in _FORMATS:
-        fmt = delimited.detect_format(t.spark, _csv(t, _lines(t), separator, encoding, name))
-        found.append((name, fmt.encoding, fmt.separator))
-    return t.spark.createDataFrame(found, "file string, encoding string, separator string")
+        fmt = delimited.detect_format(t.spark, _csv(t, _bodies(t), separator, encoding, name, **_AS_IT_IS))
+        found.append((name, fmt.encoding, fmt.separator, fmt.multi_line))
+    return t.spark.createDataFrame(found, "file string, encoding string, separator string, multi_line boolean")
 
 
+# Texts go over several lines, so each of the files has a quoted field that does.
 add("csv_detect_format", _detected,
     " UNION ALL ".join(
-        f"SELECT '{name}' AS file, '{encoding}' AS encoding, {'chr(9)' if s == chr(9) else repr(s)} AS separator"
+        f"SELECT '{name}' AS file, '{encoding}' AS encoding, {'chr(9)' if s == chr(9) else repr(s)} AS separator, "
+        "(SELECT max(CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END) = 1 FROM documents) AS multi_line"
         for name, s, encoding in _FORMATS))
 add("csv_separator_by_count",
     lambda t: delimited.count_separators(t.spark, _csv(t, t.customer, "|"), 5),
@@ -49,16 +53,9 @@ add("csv_scan_inferred",
     "o_totalprice, o_orderdate, o_orderpriority FROM orders")
 
 
-def _quoted(t, df):
-    path = t.fresh_path("quoted")
-    df.write.options(
-        header=True, sep=";", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).csv(path)
-    return path
-
-
 add("csv_scan_multiline",
-    lambda t: delimited.scan(t.spark, _quoted(t, t.documents.select("doc_id", "text")), schema="doc_id bigint, text string"),
+    lambda t: delimited.scan(t.spark, _csv(t, t.documents.select("doc_id", "text"), label="quoted", **_AS_IT_IS),
+                             schema="doc_id bigint, text string"),
     "SELECT doc_id, text FROM documents")
 add("csv_scan_latin1",
     lambda t: delimited.scan(
@@ -101,7 +98,12 @@ add("parquet_sink",
     "SELECT * FROM lineitem")
 add("csv_to_parquet",
     lambda t: t.spark.read.parquet(columnar.convert_delimited(
-        t.spark, _csv(t, t.customer, ";", "ISO-8859-1"), t.fresh_path("converted")))
+        t.spark, _csv(t, t.documents, label="documents", **_AS_IT_IS), t.fresh_path("converted")))
+    .select(F.col("doc_id").cast("bigint"), "text", "lang", "source", F.col("n_chars").cast("bigint")),
+    "SELECT doc_id, text, lang, source, n_chars FROM documents")
+add("csv_to_parquet_latin1",
+    lambda t: t.spark.read.parquet(columnar.convert_delimited(
+        t.spark, _csv(t, t.customer, ";", "ISO-8859-1"), t.fresh_path("converted"), "ISO-8859-1", ";"))
     .select(F.col("c_custkey").cast("bigint"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "SELECT * FROM customer")
 add("table_file_info",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.refs import col, cols
-from .delimited import LATIN1, TextFormat, scan as scan_delimited
+from .delimited import TextFormat, detect_format, scan as scan_delimited
 
 # Predicate operators and codecs a caller may name.
 CODECS = ("snappy", "gzip", "zstd", "none")
@@ -67,11 +67,14 @@ def write(
 
 
 def convert_delimited(
-    spark: SparkSession, source: str, target: str, encoding: str = LATIN1, separator: str = ";",
-    codec: str = "snappy",
+    spark: SparkSession, source: str, target: str, encoding: str | None = None, separator: str | None = None,
+    codec: str = "snappy", schema: T.StructType | str | None = None,
 ) -> str:
-    """Delimited text to Parquet."""
-    return write(scan_delimited(spark, source, fmt=TextFormat(encoding, separator)), target, codec)
+    """Delimited text to Parquet. Encoding and separator are detected unless they are given; whether fields
+    hold line breaks is looked up in any case. Types are inferred without a ``schema``."""
+    found = detect_format(spark, source)
+    fmt = TextFormat(encoding or found.encoding, separator or found.separator, found.multi_line)
+    return write(scan_delimited(spark, source, schema=schema, fmt=fmt), target, codec)
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:

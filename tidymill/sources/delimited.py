@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.refs import col, present
 from ..operators.columns import trim_column_names
 from ..functions.numbers import to_number
+from . import records
 
 # Separators in the order they are tried.
 SEPARATORS = (";", ",", "\t", "|")
@@ -24,7 +25,7 @@ UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 class TextFormat:
     encoding: str
     separator: str
-    multi_line: bool = False  # a quoted field holds a line break; such files cannot be split
+    multi_line: bool = False  # a quoted field may hold a line break; read record by record, in splits all the same
 
 
 def _whole_files(spark: SparkSession, path: str) -> tuple[str, bool]:
@@ -56,24 +57,24 @@ def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     return [r["value"].lstrip("﻿") for r in _head(spark, path, n).collect()]
 
 
+_QUOTED = r'(^|[;,\t|\n])"[^"]*(?:""[^"]*)*(?:"|$)'
+
+
 def count_separators(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
-    """Rows ``(separator, n)``: how often each candidate occurs in the first lines."""
-    head = _head(spark, path, lines)
+    """Rows ``(separator, n)``: how often each candidate occurs in the first lines, outside quoted fields."""
+    text = F.regexp_replace(F.array_join(F.collect_list("value"), "\n"), _QUOTED, "$1")
+    head = _head(spark, path, lines).agg(F.coalesce(text, F.lit("")).alias("text"))
     counts = [
-        F.struct(
-            F.lit(s).alias("separator"),
-            F.coalesce(
-                F.sum(F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit(s), F.lit("")))),
-                F.lit(0),
-            ).alias("n"),
-        )
+        F.struct(F.lit(s).alias("separator"),
+                 (F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit(s), F.lit("")))).alias("n"))
         for s in SEPARATORS
     ]
-    return head.agg(F.array(*counts).alias("m")).select(F.inline("m"))
+    return head.select(F.inline(F.array(*counts)))
 
 
 def separator_by_count(spark: SparkSession, path: str) -> str | None:
-    """The most frequent candidate in the first five lines, the earlier one on ties."""
+    """The most frequent candidate in the first five lines, the earlier one on ties. Those inside quoted
+    fields belong to the text."""
     counts = {r["separator"]: r["n"] for r in count_separators(spark, path).collect()}
     best = max(SEPARATORS, key=lambda s: counts[s])
     return best if counts[best] else None
@@ -99,6 +100,32 @@ def _reader(spark: SparkSession, fmt: TextFormat):
     )
 
 
+def _read(
+    spark: SparkSession, path: str, fmt: TextFormat, schema: T.StructType | str | None = None, infer: bool = False
+) -> DataFrame:
+    """The table under the names of its header, all text unless there is a schema or types are inferred."""
+    reader = _reader(spark, fmt)
+    if not fmt.multi_line:
+        return (reader.option("inferSchema", infer) if schema is None else reader.schema(schema)).csv(path)
+    found = records.read(spark, path, fmt.separator, fmt.encoding)
+    options = {"sep": fmt.separator, "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    if schema is None:
+        schema = reader.csv(path).schema
+        if infer:
+            schema = _inferred(spark, found, options, schema)
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    return found.select(F.from_csv("record", ddl, options).alias("__record")).select("__record.*")
+
+
+def _inferred(spark: SparkSession, found: DataFrame, options: dict, named: T.StructType) -> T.StructType:
+    """Spark's own inference on records that are no longer lines of a file; it takes them as a Dataset only."""
+    reader = spark.read.options(**options, inferSchema=True)
+    texts = getattr(found._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    kinds = [f.dataType for f in DataFrame(reader._jreader.csv(texts), spark).schema]
+    kinds += [T.StringType()] * (len(named) - len(kinds))
+    return T.StructType([T.StructField(f.name, kind) for f, kind in zip(named, kinds)])
+
+
 def list_columns(spark: SparkSession, path: str, fmt: TextFormat | None = None) -> list[str]:
     """The trimmed header names. With a ``fmt`` only the first line is read, else the format is
     detected first."""
@@ -117,19 +144,17 @@ def scan(
 
     Without a ``fmt`` the format is detected, and without a ``schema`` the types are inferred, each at
     the cost of one more pass over the files. Line breaks and separators inside quotes belong to the
-    field; only files that hold such line breaks are read unsplit.
+    field; files that may hold such line breaks are read in splits by ``records``, at two passes.
     ``types`` casts columns to ``numero`` (a number or null), ``texto`` or ``data`` (kept as
     text). When it covers all wanted columns nothing is inferred.
     """
     fmt = fmt or detect_format(spark, path)
-    reader = _reader(spark, fmt)
     if schema is not None:
-        df = reader.schema(schema).csv(path)
+        df = _read(spark, path, fmt, schema)
     else:
         names = list_columns(spark, path, fmt)
         wanted = set(columns or names)
-        infer = not (types and wanted <= set(types))
-        df = reader.option("inferSchema", infer).csv(path)
+        df = _read(spark, path, fmt, infer=not (types and wanted <= set(types)))
     df = trim_column_names(df)
     if types:
         # the text as it stands in the file, not the text of an inferred number
@@ -138,7 +163,7 @@ def scan(
             fields = [
                 T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in df.schema.fields
             ]
-            df = reader.option("inferSchema", False).schema(T.StructType(fields)).csv(path)
+            df = _read(spark, path, fmt, T.StructType(fields))
         numbers = [c for c, t in types.items() if t in ("numero", "number")]
         df = df.withColumns({c: to_number(col(c), df.schema[c].dataType) for c in present(df, numbers)})
     if columns is not None:
