@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.refs import col, cols, dtype, order_columns, require, sort_keys, total_order, unused_name
 from ..scratch import write_out
+from . import selection
 
-# A top-k keeps k rows in every task and on the driver, so it is used for small k only.
+# A top-k keeps k rows in every task and on the driver, so it is used for small k only; beyond, the
+# n-th row is found by counting.
 TOP_K_LIMIT = 10_000
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -122,7 +124,10 @@ def _by_position(df: DataFrame, order_by: Sequence, keep) -> DataFrame:
 def keep_first_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
     if n <= TOP_K_LIMIT:
         return df.orderBy(*total_order(df, order_by)).limit(max(n, 0))
-    return _by_position(df, order_by, lambda p: p < n)
+    keys = selection.order_keys(df, order_by)
+    if keys is None:
+        return _by_position(df, order_by, lambda p: p < n)
+    return selection.first_rows(df, keys, n).orderBy(*total_order(df, order_by))
 
 
 def keep_last_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
@@ -130,18 +135,25 @@ def keep_last_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
     if n <= TOP_K_LIMIT:
         last = df.orderBy(*total_order(df, order_by, reverse=True)).limit(max(n, 0))
         return last.orderBy(*total_order(df, order_by))
-    total = df.count()
-    return _by_position(df, order_by, lambda p: p >= total - n)
+    keys = selection.order_keys(df, order_by, reverse=True)
+    if keys is None:
+        total = df.count()
+        return _by_position(df, order_by, lambda p: p >= total - n)
+    return selection.first_rows(df, keys, n).orderBy(*total_order(df, order_by))
 
 
 def index_at(df: DataFrame, column: str, position: int, order_by: Sequence, name: str = "value") -> DataFrame:
     """INDEX: the value at the 1-based position as a one-row table; null when out of range."""
-    keys = [k for k, _ in order_columns(order_by)]
-    narrow = df.select(*cols(dict.fromkeys([*keys, column])))
+    names = [k for k, _ in order_columns(order_by)]
+    narrow = df.select(*cols(dict.fromkeys([*names, column])))
+    keys = selection.order_keys(narrow, order_by) if position > TOP_K_LIMIT else None
     if position < 1:
         found = narrow.limit(0)
     elif position <= TOP_K_LIMIT:
         found = narrow.orderBy(*total_order(narrow, order_by)).offset(position - 1).limit(1)
+    elif keys is not None:
+        place = selection.row_at(narrow, keys, position - 1)
+        found = narrow.limit(0) if place is None else narrow.where(selection.equal(keys, place.bound)).limit(1)
     else:
         found = _by_position(narrow, order_by, lambda p: p == position - 1)
     return found.agg(F.max(col(column)).alias(name)) if isinstance(
