@@ -105,7 +105,7 @@ add("profile_special_formats",
     "'moeda (R$), porcentagem (%), milhar brasileiro (1.234,56)' AS formats FROM {money_text}")
 add("profile_text_as_number", lambda t: _shown(profile.profile_text_as_number(t.dirty_customer)), _TEXT_NUMBER)
 add("profile_number_as_text",
-    lambda t: _shown(profile.profile_number_as_text(t.dirty_customer.drop("acctbal", "empty_col"))), _NUMBER_TEXT)
+    lambda t: _shown(profile.profile_number_as_text(t.dirty_customer)), _NUMBER_TEXT)
 add("profile_number_as_text_float",
     lambda t: _shown(profile.profile_number_as_text(t.lineitem.select("l_quantity", "l_extendedprice"))),
     "SELECT 'TIPO_NUMERO_TEXTO' AS category, 'l_quantity' AS \"column\", 'info' AS severity, "
@@ -168,44 +168,6 @@ _ALL = " UNION ALL ".join(
     (_NULLS, _EMPTY, _REPEATS, _DECIMAL, _TEXT_NUMBER, _NUMBER_TEXT, _SPACES, _CASE, _PLACEHOLDERS))
 
 
-def _scan(t):
-    return profile.scan_table(t.dirty_customer, fuzzy=False)
-
-
-add("scan_table", lambda t: _shown(_scan(t)), _ALL)
-add("issue_summary",
-    lambda t: profile.issue_summary(_scan(t)),
-    f"WITH i AS ({_ALL}) SELECT 'total' AS kind, 'total' AS name, count(*) AS n FROM i UNION ALL "
-    "SELECT 'severity', severity, count(*) FROM i GROUP BY severity UNION ALL "
-    "SELECT 'category', category, count(*) FROM i GROUP BY category")
-add("issue_report",
-    lambda t: profile.issue_report(_scan(t)).select(F.col("number").cast("bigint"), *_SHOWN),
-    f"WITH i AS ({_ALL}) SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critico' THEN 3 WHEN 'aviso' THEN 2 "
-    f"ELSE 1 END DESC, category, \"column\") AS number, * FROM i")
-add("suggest_steps",
-    lambda t: suggest.suggest_steps(_scan(t)).select("operation", "params"),
-    f"WITH i AS ({_ALL}) "
-    "SELECT 'remover_colunas_vazias' AS operation, '{\"limiar\":1.0}' AS params FROM i WHERE category = 'NULOS' "
-    "HAVING count(*) > 0 UNION ALL "
-    "SELECT 'remover_colunas_vazias', '{\"limiar\":1.0}' FROM i WHERE category = 'COLUNA_VAZIA' HAVING count(*) > 0 "
-    "UNION ALL SELECT 'substituir_valores', '{\"colunas\":[\"' || \"column\" || '\"],\"mapeamento\":{\"N/A\":\"\"},"
-    "\"normalizar\":true}' FROM i WHERE category = 'VALOR_SUSPEITO' UNION ALL "
-    "SELECT 'normalizar_texto', '{\"colunas\":[\"' || string_agg(\"column\", '\",\"' ORDER BY \"column\") || "
-    "'\"],\"modo\":\"upper\"}' FROM i WHERE category = 'TEXTO_ESPACO' HAVING count(*) > 0")
-add("apply_suggestions_spellings",
-    lambda t: suggest.apply_suggestions(t.typo_part.select("p_partkey", "name"), ["p_partkey"], columns=["name"]).table,
-    _UNIFY + "SELECT p_partkey, coalesce(canonical, upper(trim(name))) AS name FROM {typo_part} LEFT JOIN "
-    "(SELECT * FROM k WHERE members > 1) ON upper(trim(name)) = variant")
-add("apply_suggestions_money",
-    lambda t: suggest.apply_suggestions(t.money_text, ["o_orderkey"], fuzzy=False, columns=["amount"]).table,
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) "
-    "WHEN o_orderkey % 3 = 1 THEN round(o_custkey / 100.0, 6) ELSE 1000.5 + o_custkey % 1000 END AS amount FROM orders")
-add("apply_suggestions",
-    lambda t: suggest.apply_suggestions(t.dirty_customer, ["c_custkey"], fuzzy=False).table,
-    "SELECT c_custkey, c_nationkey, CASE WHEN upper(trim(segment)) = 'N/A' THEN '' ELSE upper(trim(segment)) END "
-    "AS segment, acctbal, acctbal_text, code_like FROM {dirty_customer}")
-
-# The same with the check of spellings, which the five above leave out as their SQL does.
 def _in_views(sql: str) -> str:
     for view, text in VIEWS.items():
         sql = sql.replace("{" + view + "}", f"({text})")
@@ -233,28 +195,52 @@ def _unified(column: str) -> str:
 _ALL_SPELLED = " UNION ALL ".join([_ALL, *[_similar(c) for c in _TEXTS]])
 
 
-def _scan_spelled(t):
+def _scan(t):
     return profile.scan_table(t.dirty_customer)
 
 
-add("scan_table_spellings", lambda t: _shown(_scan_spelled(t)), _ALL_SPELLED)
-add("issue_summary_spellings",
-    lambda t: profile.issue_summary(_scan_spelled(t)), QUERIES["issue_summary"].sql.replace(_in_views(_ALL), _ALL_SPELLED))
-add("issue_report_spellings",
-    lambda t: profile.issue_report(_scan_spelled(t)).select(F.col("number").cast("bigint"), *_SHOWN),
-    QUERIES["issue_report"].sql.replace(_in_views(_ALL), _ALL_SPELLED))
-add("suggest_steps_spellings",
-    lambda t: suggest.suggest_steps(_scan_spelled(t)).select("operation", "params"),
-    QUERIES["suggest_steps"].sql.replace(_in_views(_ALL), _ALL_SPELLED)
-    + " UNION ALL SELECT 'unificar_valores', '{\"coluna\":\"' || \"column\" || '\",\"tabela\":\"unificar:' || \"column\" "
+add("scan_table", lambda t: _shown(_scan(t)), _ALL_SPELLED)
+add("issue_summary",
+    lambda t: profile.issue_summary(_scan(t)),
+    f"WITH i AS ({_ALL_SPELLED}) SELECT 'total' AS kind, 'total' AS name, count(*) AS n FROM i UNION ALL "
+    "SELECT 'severity', severity, count(*) FROM i GROUP BY severity UNION ALL "
+    "SELECT 'category', category, count(*) FROM i GROUP BY category")
+add("issue_report",
+    lambda t: profile.issue_report(_scan(t)).select(F.col("number").cast("bigint"), *_SHOWN),
+    f"WITH i AS ({_ALL_SPELLED}) SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critico' THEN 3 WHEN 'aviso' THEN 2 "
+    f"ELSE 1 END DESC, category, \"column\") AS number, * FROM i")
+add("suggest_steps",
+    lambda t: suggest.suggest_steps(_scan(t)).select("operation", "params"),
+    f"WITH i AS ({_ALL_SPELLED}) "
+    "SELECT 'remover_colunas_vazias' AS operation, '{\"limiar\":1.0}' AS params FROM i WHERE category = 'NULOS' "
+    "HAVING count(*) > 0 UNION ALL "
+    "SELECT 'remover_colunas_vazias', '{\"limiar\":1.0}' FROM i WHERE category = 'COLUNA_VAZIA' HAVING count(*) > 0 "
+    "UNION ALL SELECT 'substituir_valores', '{\"colunas\":[\"' || \"column\" || '\"],\"mapeamento\":{\"N/A\":\"\"},"
+    "\"normalizar\":true}' FROM i WHERE category = 'VALOR_SUSPEITO' UNION ALL "
+    "SELECT 'normalizar_texto', '{\"colunas\":[\"' || string_agg(\"column\", '\",\"' ORDER BY \"column\") || "
+    "'\"],\"modo\":\"upper\"}' FROM i WHERE category = 'TEXTO_ESPACO' HAVING count(*) > 0 UNION ALL "
+    "SELECT 'unificar_valores', '{\"coluna\":\"' || \"column\" || '\",\"tabela\":\"unificar:' || \"column\" "
     "|| '\"}' FROM i WHERE category = 'FUZZY_MATCH'")
-add("apply_suggestions_dirty_spellings",
+add("apply_suggestions_spellings",
+    lambda t: suggest.apply_suggestions(t.typo_part.select("p_partkey", "name"), ["p_partkey"], columns=["name"]).table,
+    _UNIFY + "SELECT p_partkey, coalesce(canonical, upper(trim(name))) AS name FROM {typo_part} LEFT JOIN "
+    "(SELECT * FROM k WHERE members > 1) ON upper(trim(name)) = variant")
+add("apply_suggestions_money",
+    lambda t: suggest.apply_suggestions(t.money_text, ["o_orderkey"], fuzzy=False, columns=["amount"]).table,
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) "
+    "WHEN o_orderkey % 3 = 1 THEN round(o_custkey / 100.0, 6) ELSE 1000.5 + o_custkey % 1000 END AS amount FROM orders")
+add("apply_suggestions",
     lambda t: suggest.apply_suggestions(t.dirty_customer, ["c_custkey"]).table,
     "SELECT c_custkey, c_nationkey, coalesce(s.canonical, CASE WHEN upper(trim(segment)) = 'N/A' THEN '' "
     "ELSE upper(trim(segment)) END) AS segment, acctbal, coalesce(a.canonical, acctbal_text) AS acctbal_text, code_like "
     f"FROM {{dirty_customer}} LEFT JOIN {_unified('segment')} s ON upper(trim(segment)) = s.variant "
     f"LEFT JOIN {_unified('acctbal_text')} a ON upper(trim(acctbal_text)) = a.variant")
 
+# The names under which the check of spellings was first registered.
+for _name in ("scan_table", "issue_summary", "issue_report", "suggest_steps"):
+    QUERIES[f"{_name}_spellings"] = QUERIES[_name]
+QUERIES["apply_suggestions_dirty_spellings"] = QUERIES["apply_suggestions"]
+
 # ---- validation and lineage
 add("validate_table",
     lambda t: validate.validate_table(t.dirty_customer, ["segment", "absent"], 100),
