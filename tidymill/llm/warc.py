@@ -7,46 +7,90 @@ that runs again after a lost executor makes the same records. Both derivatives n
 holds its HTTP headers, title, language and links.
 
 Text is what stands outside comments, scripts, styles and the title; block tags end a line, other tags
-vanish, the named entities below are decoded.
+vanish, character references are decoded. Links and the language are attributes of their tags, in double
+quotes, single quotes or none. What is never closed (a comment, a script, a tag) goes on to the end of
+the page, so every pattern passes over a page once, whatever it holds. A ``>`` ends a tag even in quotes.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._arrow import once
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-HIDDEN = (r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<noscript\b.*?</noscript[^>]*>"
-          r"|<title\b.*?</title[^>]*>")
+END = r"[^>]*(?:>|\z)"  # the rest of a tag
+_RAW = "|".join(rf"<{name}\b.*?(?:</{name}{END}|\z)" for name in ("script", "style", "noscript", "title"))
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}"
 BLOCKS = (r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|article|section|header|footer|nav|main|aside"
-          r"|form|blockquote|pre|figure|body|html|head)\b[^>]*>")
-TAGS = r"<[A-Za-z/!?][^>]*>"
-LINKS = r"(?i)<a\b[^>]*?\bhref[ ]*=[ ]*\"([^\"]*)\""
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-LANGUAGE = r"(?i)<html\b[^>]*?\blang[ ]*=[ ]*\"([^\"]*)\""
-# The ampersand last, so that nothing is decoded twice.
-ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-            ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")]
+          rf"|form|blockquote|pre|figure|body|html|head)\b{END}")
+TAGS = rf"<[A-Za-z/!?]{END}"
+ANCHORS = rf"(?i)<a[ \t\n\f\r/]{END}"
+TITLE = rf"(?is)<title\b{END}(.*?)(?:</title|\z)"
+ROOT = rf"(?i)<html\b{END}"
+# An attribute with its value, so that what stands inside a value is not taken for one. A name starts where
+# no name goes on before it, which an engine of linear time need not be told.
+NAME = r"[^ \t\n\f\r\"'>/=]"
+ATTRIBUTE = rf"{NAME}+[ \t\n\f\r]*=[ \t\n\f\r]*(?:\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>]+)"
+# A character reference without its ampersand: decimal, hexadecimal or by name.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+# Names of the standard library's table, a no-break space as a space.
+CHARACTERS = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
 RECORD_COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_digest"]
 
 
+def _character(reference: Column) -> Column:
+    """The character of a reference such as ``#8217``, ``#x2019`` or ``eacute``; null if it names none."""
+    number = F.when(
+        reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 8), 16, 10)
+    ).otherwise(F.substring(reference, 2, 8)).cast("long")
+    valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+    wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    numeric = F.when(number == 160, " ").when(valid, wide).otherwise("\ufffd")
+    names = F.create_map(*[F.lit(x) for pair in sorted(CHARACTERS.items()) for x in pair])
+    return F.when(F.startswith(reference, F.lit("#")), numeric).otherwise(F.try_element_at(names, reference))
+
+
 def _decoded(text: Column) -> Column:
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """Character references decoded, each once. An ampersand that begins none stays."""
+
+    def part(piece: Column) -> Column:
+        reference = F.regexp_extract(piece, REFERENCE, 1)
+        found = F.when(reference != "", _character(reference))
+        rest = F.substring(piece, F.length(reference) + 2, F.length(piece))
+        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&", -1)
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), part)
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The first attribute of that name in a tag, as it stands there without its quotes; null without one."""
+    found = F.regexp_extract_all(tag, F.lit(rf"(?<!{NAME}){ATTRIBUTE}"), F.lit(0))
+    own = F.filter(found, lambda x: F.lower(F.rtrim(F.substring_index(x, "=", 1), F.lit(" \t\n\f\r"))) == name)
+    value = F.ltrim(F.regexp_replace(F.get(own, F.lit(0)), "^[^=]*=", ""), F.lit(" \t\n\f\r"))
+    quoted = F.left(value, F.lit(1)).isin('"', "'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def _one_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[\x00-\x20\x7F]+", " "))
 
 
-def plain_text(html: Column) -> Column:
-    """The visible text, a line per block, spaces run together."""
-    text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x09-\x0D]+", " "), BLOCKS, "\n")
+def shown(html: Column) -> Column:
+    """The page without comments, scripts, styles and title."""
+    return F.regexp_replace(html, HIDDEN, " ")
+
+
+def plain_text(shown_html: Column) -> Column:
+    """The visible text of ``shown``, a line per block, spaces run together."""
+    text = F.regexp_replace(F.regexp_replace(shown_html, r"[\x09-\x0D]+", " "), BLOCKS, "\n")
     text = _decoded(F.regexp_replace(text, TAGS, ""))
     # No repeated group here: Java matches one recursively, and a large empty table would end the executor.
     text = F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n")
@@ -94,13 +138,15 @@ def derive(source: DataFrame) -> DataFrame:
     block_digest, source_digest, n_links, block, record``; ``record`` is the whole record as it stands in
     a file. An empty page gives empty blocks of text and no links; repeated pages give the same records.
     """
-    html = F.col("payload")
-    rows = source.select(
+    html, bare = F.col("payload"), F.col("bare")
+    anchors = F.regexp_extract_all(bare, F.lit(ANCHORS), F.lit(0))
+    links = F.filter(F.transform(anchors, lambda tag: _attribute(tag, "href")), lambda x: x.isNotNull())
+    rows = source.withColumn("bare", once(shown(html))).select(
         "page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_headers",
-        F.col("payload_digest").alias("source_digest"), plain_text(html).alias("text"),
+        F.col("payload_digest").alias("source_digest"), plain_text(bare).alias("text"),
         _one_line(_decoded(F.regexp_extract(html, TITLE, 1))).alias("title"),
-        _one_line(F.regexp_extract(html, LANGUAGE, 1)).alias("language"),
-        F.transform(F.regexp_extract_all(html, F.lit(LINKS), F.lit(1)), lambda x: _one_line(_decoded(x))).alias("links"),
+        _one_line(_decoded(F.coalesce(_attribute(F.regexp_extract(html, ROOT, 0), "lang"), F.lit("")))).alias("language"),
+        F.transform(links, lambda x: _one_line(_decoded(x))).alias("links"),
     )
     line = lambda name: lambda value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
@@ -143,10 +189,29 @@ def derivatives_sql(date: str = DATE) -> str:
     """What the query returns, as SQL on ``pages``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
+    names = f"map {{{', '.join(f'{quote(k)}: {quote(v)}' for k, v in sorted(CHARACTERS.items()))}}}"
+    white = "chr(32) || chr(9) || chr(10) || chr(12) || chr(13)"
+
+    def character(ref: str) -> str:
+        number = (f"CASE WHEN regexp_matches({ref}, '^#[xX]') THEN CAST('0x' || substr({ref}, 3) AS BIGINT) "
+                  f"WHEN {ref} LIKE '#%' THEN CAST(substr({ref}, 2) AS BIGINT) END")
+        return (f"CASE WHEN {ref} NOT LIKE '#%' THEN names[{ref}] WHEN {number} = 160 THEN ' ' "
+                f"WHEN ({number} > 0 AND {number} < 55296) OR ({number} > 57343 AND {number} <= 1114111) "
+                f"THEN chr(CAST({number} AS INTEGER)) ELSE chr(65533) END")
+
     def decoded(text: str) -> str:
-        for name, character in ENTITIES:
-            text = f"replace({text}, {quote(name)}, {quote(character)})"
-        return text
+        ref = f"regexp_extract(q, {quote(REFERENCE)}, 1)"
+        part = (f"CASE WHEN q.ref <> '' THEN coalesce({character('q.ref')} || substr(q.piece, length(q.ref) + 2), "
+                "'&' || q.piece) ELSE '&' || q.piece END")
+        pieces = f"[{{'piece': q, 'ref': {ref}}} for q in string_split({text}, '&')[2:]]"
+        return (f"string_split({text}, '&')[1] || coalesce(list_aggregate([{part} for q in {pieces}], "
+                "'string_agg', ''), '')")
+
+    def attribute(tag: str, name: str) -> str:
+        found = f"regexp_extract_all({tag}, {quote(ATTRIBUTE)})"
+        own = f"[y for y in {found} if lower(rtrim(string_split(y, '=')[1], {white})) = '{name}'][1]"
+        value = f"ltrim(regexp_replace({own}, '^[^=]*=', ''), {white})"
+        return f"CASE WHEN left({value}, 1) IN (chr(34), chr(39)) THEN substr({value}, 2, length({value}) - 2) ELSE {value} END"
 
     def one_line(text: str) -> str:
         return f"trim(regexp_replace({text}, '[\\x00-\\x20\\x7F]+', ' ', 'g'), ' ')"
@@ -161,8 +226,7 @@ def derivatives_sql(date: str = DATE) -> str:
                 f"substr(md5({text}), 14, 3) || '-a' || substr(md5({text}), 18, 3) || '-' || substr(md5({text}), 21, 12) || '>'")
 
     replaced = lambda text, pattern, by: f"regexp_replace({text}, {quote(pattern)}, {by}, 'g')"
-    text = replaced("payload", HIDDEN, "' '")
-    text = replaced(replaced(text, r"[\x09-\x0D]+", "' '"), BLOCKS, "chr(10)")
+    text = replaced(replaced("bare", r"[\x09-\x0D]+", "' '"), BLOCKS, "chr(10)")
     text = decoded(replaced(text, TAGS, "''"))
     text = f"trim({replaced(replaced(text, ' +', quote(' ')), '( ?' + chr(92) + 'n ?)+', 'chr(10)')}, ' ' || chr(10))"
     end = "chr(13) || chr(10)"
@@ -180,11 +244,12 @@ WITH p AS (SELECT page_id, {one_line("coalesce(url, '')")} AS target_uri, '{date
                   coalesce(html, '') AS payload FROM pages),
 d AS (SELECT *, {b32("payload")} AS source_digest FROM p),
 r AS (SELECT *, {uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '-') || '|' || target_uri || '|' || source_digest")}
-      AS refers_to FROM d),
+      AS refers_to, {replaced("payload", HIDDEN, "' '")} AS bare, {names} AS names FROM d),
 t AS (SELECT page_id, refers_to, target_uri, date, source_digest, strlen(payload) AS size, {text} AS text,
         {one_line(decoded(f"regexp_extract(payload, {quote(TITLE)}, 1)"))} AS title,
-        {one_line(f"regexp_extract(payload, {quote(LANGUAGE)}, 1)")} AS language,
-        [{one_line(decoded("x"))} for x in regexp_extract_all(payload, {quote(LINKS)}, 1)] AS links FROM r),
+        {one_line(decoded(f"coalesce({attribute(f'regexp_extract(payload, {quote(ROOT)})', 'lang')}, '')"))} AS language,
+        [{one_line(decoded("x"))} for x in [{attribute("z", "href")} for z in
+         regexp_extract_all(bare, {quote(ANCHORS)})] if x IS NOT NULL] AS links FROM r),
 f AS (SELECT *, 'title: ' || title || {end} || 'languages-html: ' || language || {end} ||
         'source-http: HTTP/1.1 200 OK' || {end} || 'source-http: Content-Type: text/html; charset=utf-8' || {end} ||
         'source-http: Content-Length: ' || size || {end} ||
