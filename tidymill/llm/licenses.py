@@ -40,7 +40,10 @@ LICENSES = [
     ("mit-0", "mit attribution", "mit no attribution(?: license| licence)?", "mit 0"),
     ("x11", "x11", "(?:mit )?x11(?: license| licence)", "x11"),
     ("isc", "isc", "isc(?: license| licence)", "isc"),
-    ("apache-2", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? ?(?:2|v2)(?: 0)?", "apache 2 0"),
+    ("apache-2", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? (?:2|v2)(?: 0)?", "apache 2 0"),
+    ("apache-2", "apache", "apache(?: software)?(?: license| licence)? (?:license|licence|version)(?:2|v2)(?: 0)?", "apache 2"),
+    ("apache-2", "apache2", "apache2(?: 0)?", "apache2"),
+    ("apache-2", "apachev2", "apachev2(?: 0)?", "apachev2"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license| licence)(?: version)? (?:1|v1) 1", "apache 1 1"),
     ("apache-1.0", "apache", "apache(?: software)?(?: license| licence)(?: version)? (?:1|v1) 0", "apache 1 0"),
     ("bsd-2", "bsd", "(?:bsd 2|2|two) clause(?: simplified)?(?: bsd)?(?: license| licence)", "bsd 2 clause"),
@@ -192,19 +195,28 @@ def required_words(pattern: str) -> frozenset[str]:
 
 
 def gated(rule: Rule) -> Rule:
-    """The rule without the keywords that a match can lack; without any it is tried on every text."""
+    """The rule with the keywords that each of its matches holds, or else the longest word that each holds.
+    A rule without any would be tried on every text."""
     held = required_words(rule.pattern)
-    return replace(rule, needs=tuple(w for w in rule.needs if w in held))
+    needs = tuple(w for w in rule.needs if w in held) or tuple(sorted(held, key=lambda w: (-len(w), w))[:1])
+    return replace(rule, needs=needs)
 
 
 GATED = [gated(r) for r in RULES]
 
 
+def _ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, and in other letters whatever makes no ASCII word of them. Lower-casing all letters is
+    several times faster than translating A-Z; two letters would become ASCII ones, so texts with these are translated."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(odd, F.translate(text, upper, lower)).otherwise(F.lower(text))
+
+
 def spaced_words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased, each with a space on either side."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "  ")
-    words = F.regexp_replace(F.translate(words, upper, lower), "^ +| +$", "")
+    words = F.regexp_replace(_ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
+    words = F.btrim(words)
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -238,13 +250,9 @@ def base_columns(spaced: Column, n_words: Column) -> dict[str, Column]:
 
 
 def keywords_in(spaced: Column, rules: list[Rule]) -> Column:
-    """The keywords of the rules that the text holds, from one pass."""
-    by_letter: dict[str, list[str]] = {}
-    for word in sorted({w for r in rules for w in r.needs}):
-        by_letter.setdefault(word[0], []).append(word[1:])
-    branches = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
-    found = F.regexp_extract_all(spaced, F.lit(f" (?:{branches}) "), F.lit(0))
-    return F.transform(F.array_distinct(found), lambda w: F.trim(w))
+    """The keywords of the rules that the text holds as words."""
+    keywords = F.array(*[F.lit(w) for w in sorted({w for r in rules for w in r.needs})])
+    return F.array_intersect(keywords, F.split(spaced, " "))
 
 
 def _matches(spaced: Column, found: Column, rules: list[Rule]) -> Column:
@@ -336,7 +344,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def detection_sql(rules: list[Rule] | None = None) -> str:
     """The same rows but for ``detections`` as a query on ``documents``, built from joins."""
-    rules = RULES if rules is None else rules
+    rules = GATED if rules is None else [gated(r) for r in rules]
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ",\n".join(
         f"({i}, {quote(r.label)}, CAST({r.weight} AS DOUBLE), {r.priority}, [{', '.join(map(quote, r.needs))}], "
