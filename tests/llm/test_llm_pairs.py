@@ -84,7 +84,7 @@ def test_blocks_do_not_change_components(spark, monkeypatch):
 def test_odd_documents(spark):
     rows = ngram_join.near_duplicates(edge_documents(spark)).select("doc_id", "n_shingles", "component_id")
     got = by_id(rows)
-    assert len(got) == 14 and all(r[0] is not None for r in got)
+    assert len(got) == 15 and [r for r in got if r[0] is None] == [(None, 1, None)]
     named = {r[0]: r[1:] for r in got}
     assert named[1] == (0, 1) and named[2] == (0, 2) and named[3] == (0, 3) and named[13] == (0, 13)
     assert named[7] == (2, 7) and named[8] == (2, 7) and got.count((8, 2, 7)) == 2
@@ -157,3 +157,14 @@ def test_embedding_recall(spark, folder):
     want = cosine_links(rows)
     assert len(got) == len(rows) and 0.9 * 2 * len(want) <= sum(got.values()) <= 2 * len(want)
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_vectors_without_an_id_link_and_bridge(spark):
+    near = [[1.0, 0.0, 0.0, 0.0], [0.96, 0.28, 0.0, 0.0], [0.8432, 0.5376, 0.0, 0.0]]  # each near the next only
+    rows = [(5, near[0], 1), (None, near[1], 1), (7, near[2], 1), (None, [0.0, 0.0, 1.0, 0.0], 2), (None, [0.0, 0.0, 1.0, 0.01], 2),
+            (None, [0.0, 1.0, 0.0, 0.0], 3), (None, None, 3), (9, near[0], 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(str, map(tuple, embedding_dedup.near_duplicates(table, recall=0.99999).collect())))
+    want = [(5, 1, 5, True), (None, 2, 5, False), (7, 1, 5, False), (None, 1, None, True), (None, 1, None, True),
+            (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(map(str, want))

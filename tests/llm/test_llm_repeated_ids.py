@@ -29,3 +29,15 @@ def test_copies_without_an_id_go(spark):
     assert kept.columns == ["doc_id", "text"]
     assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(
         [(4, a), (None, b), (None, None), (None, None), (None, " ")])
+
+
+def test_rows_without_an_id_link_and_name_nothing(spark):
+    rng = np.random.default_rng(8)
+    words = prose(rng, 60, 10**6)
+    near, far = [*words[:-4], "p", "q", "r", "s"], prose(rng, 30, 10**6)
+    further = [*"abcdef", *near[6:]]  # like `near`, unlike `words`
+    rows = [(4, " ".join(words)), (None, " ".join(near)), (9, " ".join(further)), (None, " ".join(far)), (None, " ".join(far)),
+            (None, None), (None, "two words"), (6, " ".join(far[:7]))]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id")
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter([
+        (4, 56, 4), (None, 56, 4), (9, 56, 4), (None, 26, None), (None, 26, None), (None, 0, None), (None, 1, None), (6, 3, 6)])

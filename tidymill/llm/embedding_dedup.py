@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..operators.components import connected_components
 from ..scratch import write_out
 
+UNNAMED = 1 << 62
 COSINE = 0.93
 RECALL = 0.99
 BLOCK = 512
@@ -169,18 +170,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
     Vectors that are null, zero or hold null or non-finite components, or whose label is null, link
     with nothing; so do vectors of different lengths. Rows with one vector and label are linked copies,
-    a repeated ``vec_id`` among them. A vector without an id counts as a link of its copies only and names
-    no component. Other columns are not read; an empty table gives an empty one.
+    a repeated ``vec_id`` among them. A vector without an id links and is linked like any other but names
+    no component, so one that hangs together with no id has none; ids are taken to be below 2**62. Other
+    columns are not read; an empty table gives an empty one.
     """
     kind = vectors.schema["embedding"].dataType
     form = "<f4" if isinstance(kind.elementType, T.FloatType) else "<f8"
     rows = write_out(usable_vectors(vectors), "vectors")
-    named = rows.where(F.col("vec_id").isNotNull())
+    # A class without an id gets a name above all ids, so that it is no component's smallest.
+    unnamed = F.xxhash64("digest").bitwiseAND(UNNAMED - 1).bitwiseOR(UNNAMED)
     classes = write_out(
         rows.groupBy("digest").agg(
-            F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("label").alias("label"),
+            F.coalesce(F.min("vec_id"), unnamed).alias("rep"), F.count(F.lit(1)).alias("members"), F.first("label").alias("label"),
             F.first("vector").alias("vector"),
-        ).where(F.col("rep").isNotNull()), "classes",
+        ), "classes",
     )
     found = write_out(links_of_classes(classes, cosine, recall, form), "links")
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -190,8 +193,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     ).select(
         F.col("digest").alias("of"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
         F.coalesce("component", "rep").alias("component"),
-    )
-    linked = named.select("vec_id", "digest").join(result, F.col("digest") == F.col("of"))
+    ).withColumn("component", F.when(F.col("component") < UNNAMED, F.col("component")))
+    linked = rows.select("vec_id", "digest").join(result, F.col("digest") == F.col("of"))
     # Every row of the input, linked or not; a repeated id has its rows' results in any order.
     lone = usable_rows_left_out(vectors, form)
     done = linked.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
@@ -201,7 +204,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
 
 def usable_rows_left_out(vectors: DataFrame, form: str) -> DataFrame:
-    """The rows that cannot link, and those without an id, which name nothing."""
+    """The rows that cannot link."""
     kind = "float" if form == "<f4" else "double"
     limit = F.lit(math.inf).cast(kind)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)
@@ -211,4 +214,4 @@ def usable_rows_left_out(vectors: DataFrame, form: str) -> DataFrame:
         & F.exists(embedding, lambda x: x != 0)
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    return rows.where(~F.col("usable") | F.col("vec_id").isNull())
+    return rows.where(~F.col("usable"))

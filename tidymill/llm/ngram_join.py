@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..scratch import write_out
@@ -42,6 +42,7 @@ from ._arrow import id_and_text, pieces
 
 WORDS = 5
 PERCENT = 80
+UNNAMED = 1 << 62  # what stands for an id where there is none is not below this
 BLOCK_DOCS = 4096  # documents of a block, fewer than 65,535
 BLOCK_SHINGLES = 1_000_000
 RANGES = 8
@@ -441,13 +442,28 @@ def _joined_by_ids(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` of every row with an id.
+    """``doc_id, n_shingles, component_id, class_id`` of every row.
 
     ``component_id`` is the smallest id reachable by links of at least ``percent`` Jaccard similarity,
     the row's own included; ``class_id`` the smallest id with the very same set. Null texts and texts
     without words have no n-gram and link with nothing. Repeated rows are rows of one class each; an id
-    with several texts is one document that links by any of them; rows without an id are left out. Other columns are not read, an empty table gives an empty one.
+    with several texts is one document that links by any of them. A row without an id links like any other
+    but names no component or class, so both are null if it hangs together with no id; ids are taken to be
+    below 2**62. Other columns are not read, an empty table gives an empty one.
     """
+    found = _components(docs.select(_named(F.col("doc_id"), F.col("text")).alias("doc_id"), "text"), percent)
+    ids = {c: F.when(F.col(c) < UNNAMED, F.col(c)) for c in ("doc_id", "component_id", "class_id")}
+    return found.withColumns(ids)
+
+
+def _named(doc_id: Column, text: Column) -> Column:
+    """The id, or for a row without one a number above all ids that its text gives."""
+    by_text = F.xxhash64(text.cast("string")).bitwiseAND(UNNAMED - 1).bitwiseOR(UNNAMED)
+    return F.coalesce(doc_id.cast("long"), by_text)
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """What ``near_duplicates`` returns, of rows that all have an id."""
     rows = document_sets(docs)
     classes = rows.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.max("shared").alias("shared")
@@ -475,12 +491,17 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     those without words are like nothing, and all stay.
     """
     text = F.col("text").cast("string")
-    by_text = F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    unnamed = F.when(text.rlike(r"[^\x20\x09-\x0D]"), by_text)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    groups = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent)
+    named = F.col("doc_id").isNotNull() | text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.withColumn("__key", F.when(named, _named(F.col("doc_id"), text)))
+    groups = _components(keyed.where(named).select(F.col("__key").alias("doc_id"), "text"), percent)
     # A row without words is a component of its own, but the document goes with its other texts.
     kept = groups.groupBy(F.col("doc_id").alias("__kept")).agg(F.min("component_id").alias("first"))
     kept = kept.where(F.col("__kept") == F.col("first")).select("__kept")
-    first = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key", "text"])
+    first = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    whole = [F.col(f"`{c}`") for c in keyed.columns]
+    told = [F.col(f"`{f.name}`") for f in keyed.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Of rows alike in id and text the one with the smallest hash, whichever task comes first.
+    first = first.groupBy(F.col("__key").alias("__k"), F.col("text").alias("__t")).agg(
+        F.min_by(F.struct(*whole), F.xxhash64(*told)).alias("__row")
+    ).select("__row.*")
     return first.unionByName(keyed.where(F.col("__key").isNull())).drop("__key")

@@ -53,7 +53,9 @@ def _character(reference: Column) -> Column:
     wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     numeric = F.when(number == 160, " ").when(valid, wide).otherwise("\ufffd")
     names = F.create_map(*[F.lit(x) for pair in sorted(CHARACTERS.items()) for x in pair])
-    return F.when(F.startswith(reference, F.lit("#")), numeric).otherwise(F.try_element_at(names, reference))
+    usual = F.when(reference == "amp", "&").when(reference == "lt", "<").when(reference == "gt", ">")
+    usual = usual.when(reference == "quot", '"').when(reference == "nbsp", " ")  # before the search of the table
+    return usual.when(F.startswith(reference, F.lit("#")), numeric).otherwise(F.try_element_at(names, reference))
 
 
 def _decoded(text: Column) -> Column:
@@ -65,18 +67,18 @@ def _decoded(text: Column) -> Column:
         rest = F.substring(piece, F.length(reference) + 2, F.length(piece))
         return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&", -1)
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), part)
-    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+    rest = F.transform(F.slice(F.split(text, "&", -1), F.lit(2), F.lit(1 << 30)), part)
+    return F.when(
+        F.contains(text, F.lit("&")), F.concat(F.substring_index(text, "&", 1), F.array_join(rest, ""))
+    ).otherwise(text)
 
 
 def _attribute(tag: Column, name: str) -> Column:
     """The first attribute of that name in a tag, as it stands there without its quotes; null without one."""
     found = F.regexp_extract_all(tag, F.lit(rf"(?<!{NAME}){ATTRIBUTE}"), F.lit(0))
     own = F.filter(found, lambda x: F.lower(F.rtrim(F.substring_index(x, "=", 1), F.lit(" \t\n\f\r"))) == name)
-    value = F.ltrim(F.regexp_replace(F.get(own, F.lit(0)), "^[^=]*=", ""), F.lit(" \t\n\f\r"))
-    quoted = F.left(value, F.lit(1)).isin('"', "'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    value = r"(?s)^[^=]*=[ \t\n\f\r]*(?:\"([^\"]*)\"|'([^']*)'|(.*))$"
+    return F.regexp_replace(F.get(own, F.lit(0)), value, "$1$2$3")
 
 
 def _one_line(text: Column) -> Column:
@@ -88,12 +90,16 @@ def shown(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, " ")
 
 
-def plain_text(shown_html: Column) -> Column:
-    """The visible text of ``shown``, a line per block, spaces run together."""
-    text = F.regexp_replace(F.regexp_replace(shown_html, r"[\x09-\x0D]+", " "), BLOCKS, "\n")
-    text = _decoded(F.regexp_replace(text, TAGS, ""))
+def untagged(shown_html: Column) -> Column:
+    """What stands outside tags, a line end for each block tag."""
+    lines = F.regexp_replace(F.regexp_replace(shown_html, r"[\x09-\x0D]+", " "), BLOCKS, "\n")
+    return F.regexp_replace(lines, TAGS, "")
+
+
+def plain_text(untagged_text: Column) -> Column:
+    """The visible text, a line per block, spaces run together."""
     # No repeated group here: Java matches one recursively, and a large empty table would end the executor.
-    text = F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n")
+    text = F.regexp_replace(F.regexp_replace(_decoded(untagged_text), " +", " "), " ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
@@ -141,12 +147,16 @@ def derive(source: DataFrame) -> DataFrame:
     html, bare = F.col("payload"), F.col("bare")
     anchors = F.regexp_extract_all(bare, F.lit(ANCHORS), F.lit(0))
     links = F.filter(F.transform(anchors, lambda tag: _attribute(tag, "href")), lambda x: x.isNotNull())
-    rows = source.withColumn("bare", once(shown(html))).select(
+    # Each is a column before it is decoded, which looks at its text several times.
+    rows = source.withColumn("bare", once(shown(html))).withColumns({
+        "untagged": once(untagged(bare)), "raw_title": once(F.regexp_extract(html, TITLE, 1)),
+        "raw_language": once(F.coalesce(_attribute(F.regexp_extract(html, ROOT, 0), "lang"), F.lit(""))),
+        "raw_links": once(links),
+    }).select(
         "page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_headers",
-        F.col("payload_digest").alias("source_digest"), plain_text(bare).alias("text"),
-        _one_line(_decoded(F.regexp_extract(html, TITLE, 1))).alias("title"),
-        _one_line(_decoded(F.coalesce(_attribute(F.regexp_extract(html, ROOT, 0), "lang"), F.lit("")))).alias("language"),
-        F.transform(links, lambda x: _one_line(_decoded(x))).alias("links"),
+        F.col("payload_digest").alias("source_digest"), plain_text(F.col("untagged")).alias("text"),
+        _one_line(_decoded(F.col("raw_title"))).alias("title"), _one_line(_decoded(F.col("raw_language"))).alias("language"),
+        F.transform("raw_links", lambda x: _one_line(_decoded(x))).alias("links"),
     )
     line = lambda name: lambda value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
