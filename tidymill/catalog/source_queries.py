@@ -107,8 +107,11 @@ add("csv_to_parquet_latin1",
     .select(F.col("c_custkey").cast("bigint"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "SELECT * FROM customer")
 add("table_file_info",
-    lambda t: columnar.table_info(t.spark, f"{t.folder}/lineitem.parquet").select("files", "rows", "columns"),
-    "SELECT CAST(1 AS BIGINT) AS files, count(*) AS rows, 11 AS columns FROM lineitem")
+    lambda t: columnar.table_info(t.spark, f"{t.folder}/lineitem.parquet").select(
+        "files", "rows", "columns", (F.col("bytes") > 0).alias("has_bytes"), "schema"),
+    "SELECT CAST(1 AS BIGINT) AS files, count(*) AS rows, 11 AS columns, true AS has_bytes, 'l_orderkey bigint, "
+    "l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+    "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz' AS schema FROM lineitem")
 add("bi_csv_sink",
     lambda t: delimited.scan(
         t.spark, reporting.write_bi_csv(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.criteria import criterion_predicate
 from ..functions.numbers import to_number
 from ..functions.refs import col, cols, dtype, is_float, is_number, order_struct, require
-from .quantiles import exact_quantiles
+from .quantiles import quantiles
 
 # Aggregate names a step may use.
 FUNCTION_NAMES = {
@@ -39,7 +39,7 @@ def aggregate_by(
     if kind is None:
         raise ValueError(f"aggregate not known: {func!r}")
     if kind == "median":
-        medians = exact_quantiles(df, [target], [0.5], keys)
+        medians = quantiles(df, [target], [0.5], keys, approx)
         groups = df.select(*cols(keys)).distinct()
         right = medians.select(*[col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col("q")[0].alias("__q"))
         same = [col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
@@ -81,10 +81,11 @@ def count_rows(df: DataFrame, condition: str | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 
 
-def column_stats(df: DataFrame, column: str) -> DataFrame:
-    """mean, median, min, max, sample deviation and count of the numbers in a column."""
+def column_stats(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
+    """mean, median, min, max, sample deviation and count of the numbers in a column. ``approx`` takes
+    the median from a sketch."""
     c = _number(df, column)
-    median = exact_quantiles(df, [column], [0.5]).select(F.col("q")[0].alias("m"))
+    median = quantiles(df, [column], [0.5], approx=approx).select(F.col("q")[0].alias("m"))
     stats = df.agg(
         F.avg(c).alias("mean"), F.min(c).alias("minimum"), F.max(c).alias("maximum"),
         F.stddev_samp(c).alias("std"), F.count(c).alias("n"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import to_number
 from ..functions.refs import col, cols, dtype, is_float, is_number, is_text, present
 from ..functions.text import as_text, upper_trim
-from .quantiles import exact_quantiles
+from .quantiles import quantiles
 
 
 def _clean(df: DataFrame, name: str) -> Column:
@@ -25,16 +25,16 @@ def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
-def fill_null_median(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+def fill_null_median(df: DataFrame, columns: Iterable[str], approx: bool = False) -> DataFrame:
     """Fill with the column's median. An integer column becomes a double one, so that a median
-    between two values is kept."""
+    between two values is kept. ``approx`` takes it from a sketch, in one pass."""
     names = present(df, columns)
     for c in names:
         if not is_number(dtype(df, c)):
             raise ValueError(f"median needs a number column: {c}")
     if not names:
         return df
-    medians = {r["column"]: r["q"][0] for r in exact_quantiles(df, names, [0.5]).collect()}
+    medians = {r["column"]: r["q"][0] for r in quantiles(df, names, [0.5], approx=approx).collect()}
     return df.withColumns(
         {c: F.coalesce(to_number(col(c), dtype(df, c)), F.lit(medians.get(c)).cast("double")) for c in names}
     )
@@ -153,12 +153,8 @@ def replace_values(
 
 def iqr_limits(df: DataFrame, column: str, approx: bool = False) -> tuple[float, float] | None:
     """Lower and upper limit, one and a half interquartile ranges outside the quartiles."""
-    c = to_number(col(column), dtype(df, column))
-    if approx:
-        q = df.agg(F.approx_percentile(c, [0.25, 0.75], 10000)).first()[0]
-    else:
-        row = exact_quantiles(df, [column], [0.25, 0.75]).first()
-        q = row["q"] if row else None
+    row = quantiles(df, [column], [0.25, 0.75], approx=approx).first()
+    q = row["q"] if row else None
     if not q or q[0] is None:
         return None
     margin = 1.5 * (q[1] - q[0])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import to_number
 from ..functions.refs import col, is_float
+from .copies import count_copies
 
 
 def source_bytes(df: DataFrame) -> DataFrame | None:
@@ -19,18 +20,17 @@ def source_bytes(df: DataFrame) -> DataFrame | None:
     return files.groupBy("path").agg(F.max("size").alias("size")).agg(F.sum("size").alias("bytes"))
 
 
-def initial_snapshot(df: DataFrame) -> DataFrame:
+def initial_snapshot(df: DataFrame, sizes: bool = False) -> DataFrame:
     """Rows ``(metric, column, value)``: rows, columns, total nulls, duplicates, and per column its
-    type and null count. One pass counts equal rows; the nulls are summed from that."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
+    type and null count; with ``sizes`` also the ``bytes`` of the files that the table reads (null if it
+    reads none). Nulls are counted in one pass, equal rows by their digests."""
     nulls = []
     for f in df.schema.fields:
         value = to_number(col(f.name), f.dataType) if is_float(f.dataType) else col(f.name)
-        nulls.append(F.coalesce(F.sum(F.when(value.isNull(), F.col("__n"))), F.lit(0)))
-    totals = copies.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"),
-        F.array(*nulls).alias("nulls"),
+        nulls.append(F.count_if(value.isNull()))
+    rows, duplicates = count_copies(df)
+    totals = df.agg(F.array(*nulls).alias("nulls")).select(
+        "nulls", rows.alias("rows"), duplicates.alias("duplicates")
     )
 
     def metric(name: str, column: str | None, value) -> Column:
@@ -46,6 +46,9 @@ def initial_snapshot(df: DataFrame) -> DataFrame:
         metric("total_nulls", None, total_nulls),
         metric("duplicates", None, F.col("duplicates")),
     ]
+    if sizes:
+        size = source_bytes(df)
+        rows.append(metric("bytes", None, F.lit(None) if size is None else size.scalar()))
     for i, f in enumerate(df.schema.fields):
         rows.append(metric("type", f.name, F.lit(f.dataType.simpleString())))
         rows.append(metric("nulls", f.name, F.col("nulls")[i]))

@@ -18,6 +18,7 @@ from ..functions.text import WHITE_SPACE, trim_ws, upper_trim
 from ..scratch import write_out
 from .aggregate import distinct_values
 from .clean import null_counts
+from .copies import count_copies
 from .dedup import count_duplicate_rows
 from .fuzzy import canonical_values, group_values, text_values
 from .order import keep_first_n
@@ -391,11 +392,8 @@ def profile_letter_case(df: DataFrame) -> DataFrame:
 
 def profile_row_duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical row."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
-    totals = copies.agg(
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
-    )
+    rows, repeated = count_copies(df)
+    totals = df.sparkSession.range(1).select(repeated.alias("n"), rows.alias("rows"))
     n, pct = F.col("n"), _share(F.col("n"), F.col("rows"))
     severity = F.when(pct > 20, "critico").when(pct > 5, "aviso").otherwise("info")
     issue = _issue(

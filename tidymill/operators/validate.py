@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.refs import col
+from .copies import count_copies
 from .profile import is_unnamed
 
 
@@ -15,18 +16,14 @@ def validate_table(
 ) -> DataFrame:
     """Rows ``(rule, passed, detail)`` for the five rules; all must pass for approval.
 
-    Rows, empty columns and duplicate rows come out of one aggregate over the counted rows.
+    Rows and empty columns come out of one pass, duplicate rows from digests of the rows.
     """
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
     empty = F.concat_ws(
         ", ",
         *[F.when(F.max(col(c).isNotNull()) == F.lit(False), F.lit(c)) for c in df.columns],
     )
-    totals = copies.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("repeated"),
-        empty.alias("empty"),
-    )
+    rows, repeated = count_copies(df)
+    totals = df.agg(empty.alias("empty")).select("empty", rows.alias("rows"), repeated.alias("repeated"))
     missing = ", ".join(c for c in required or [] if c not in df.columns)
     unnamed = ", ".join(c for c in df.columns if is_unnamed(c))
 

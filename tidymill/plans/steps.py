@@ -6,10 +6,11 @@ The run folds the steps into one lazy plan. Steps that need a bounded fact of th
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregate, clean, columns, correlation, dedup, fuzzy, lookup, order
 
@@ -158,12 +159,18 @@ class StepRun:
     def history(self) -> DataFrame:
         """Rows and columns before and after each step, for a run with ``observe``.
 
-        Steps that keep every row take the count before them; each other step is counted by a job of
-        its own, so the counts are complete and alike on every call.
+        Steps that keep every row take the count before them. The other tables are counted by one
+        query, as one row each, so shuffles that several of them need are done once, and the counts are
+        complete and alike on every call, whatever later steps leave.
         """
+        counted = [
+            table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(number).alias("number"), "n")
+            for number, (_, table, _, _) in enumerate(self._seen) if table is not None
+        ]
+        counts = dict(map(tuple, functools.reduce(DataFrame.union, counted).collect())) if counted else {}
         rows, before = [], None
-        for number, (operation, table, old, new) in enumerate(self._seen):
-            after = before if table is None else table.count()
+        for number, (operation, _, old, new) in enumerate(self._seen):
+            after = counts.get(number, before)
             if number:
                 added = [c for c in new if c not in old]
                 removed = [c for c in old if c not in new]
