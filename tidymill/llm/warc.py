@@ -99,7 +99,7 @@ def untagged(shown_html: Column) -> Column:
 def plain_text(untagged_text: Column) -> Column:
     """The visible text, a line per block, spaces run together."""
     # No repeated group here: Java matches one recursively, and a large empty table would end the executor.
-    text = F.regexp_replace(F.regexp_replace(_decoded(untagged_text), " +", " "), " ?\n[ \n]*", "\n")
+    text = F.regexp_replace(F.regexp_replace(_decoded(untagged_text), "  +", " "), " ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
