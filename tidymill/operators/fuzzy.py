@@ -17,11 +17,15 @@ scores, so no pair that reaches the wanted score is lost:
 * Edit similarity s, with the longer text of length L: at most (1-s)L edits, each breaking two
   bigrams, leave at least (2s-1)L - 1 in common, repeats included. Above s = 2/3 that is never
   less than one when an edit is possible at all.
+
+Where only groups are wanted, short texts are linked without any pair: see ``_short_links``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.refs import require
 from ..functions.similarity import bigram_codes, bigram_similarity, collapsed_root, edit_similarity
@@ -38,6 +42,9 @@ PREFIX_SCORES = {2: 0.75, 3: 0.80, 4: 0.85}
 # Values of one bigram that one join key holds at most.
 BLOCK_VALUES = 2000
 
+# Texts of so many bigrams at most are linked by the sets of bigrams that they share.
+SHORT = 8
+
 # So few values are compared without chaining them first.
 FEW_VALUES = 2000
 # Characters at the end of a value that its place among the endings depends on.
@@ -61,6 +68,12 @@ def _ceil(c: Column) -> Column:
     return F.ceil(c - F.lit(_ROUNDING))
 
 
+def _sized(values: DataFrame) -> DataFrame:
+    """The values with their bigrams, all (``bag``) and ``distinct``, and how many there are and repeat."""
+    sized = values.withColumn("bag", bigram_codes(F.col("value"))).withColumn("distinct", F.array_distinct("bag"))
+    return sized.withColumns({"total": F.size("bag"), "repeats": F.size("bag") - F.size("distinct")})
+
+
 def _least_shared(dice: float | None, edit: float | None) -> Column:
     """How many distinct bigrams a value must share with any partner that reaches a score."""
     total, repeats = F.col("total"), F.col("repeats")
@@ -75,22 +88,37 @@ def _least_shared(dice: float | None, edit: float | None) -> Column:
     return F.greatest(F.lit(1), lowest).cast("int")
 
 
-def _postings(values: DataFrame, dice: float | None, edit: float | None, other_nodes: bool) -> DataFrame:
+def _postings(
+    values: DataFrame, dice: float | None, edit: float | None, other_nodes: bool, linked: int = 0
+) -> DataFrame:
     """One row per value: its bigrams from rare to common, and those to look for partners by.
 
-    A bigram of one value only, or with ``other_nodes`` of one node only, leads to no partner.
+    A bigram of one value only, or with ``other_nodes`` of one node only, leads to no partner. Values
+    of up to ``linked`` bigrams need none among themselves. How often a bigram occurs is written out
+    first: a small table, by which values that can have no partner are left out before any is shuffled.
     """
-    sized = values.withColumn("bag", bigram_codes(F.col("value"))).withColumn("distinct", F.array_distinct("bag"))
-    sized = sized.withColumns({"total": F.size("bag"), "repeats": F.size("bag") - F.size("distinct")})
+    sized = _sized(values)
     sized = sized.where("total > 0").withColumn("prefix", F.size("distinct") - _least_shared(dice, edit) + 1)
     carried = ["column", "value", "node", "total", "repeats", "prefix"]
-    tokens = sized.select(*carried, F.explode("distinct").alias("gram"))
-    rarity = tokens.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(
-        F.count("*").alias("freq"), F.min("node").alias("least"), F.max("node").alias("most")
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.select(*carried, F.explode("distinct").alias("gram"))
+
+    apart = F.when(F.col("total") > linked, F.col("node")) if linked else F.col("node")
+    rarity = tokens(sized).groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(
+        F.count("*").alias("freq"), F.min(apart).alias("least"), F.max(apart).alias("most"),
+        F.count_if(apart.isNull()).alias("close"),
     )
-    useful = (F.col("least") != F.col("most")) if other_nodes else (F.col("freq") > 1)
-    rarity = rarity.select("c", "g", "freq", useful.alias("useful"))
-    ranked = tokens.join(rarity, (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g")))
+    useful = F.coalesce(F.col("least") != F.col("most"), F.lit(False)) if other_nodes else F.col("freq") > 1
+    if linked:
+        useful = useful | ((F.col("close") > 0) & F.col("least").isNotNull())
+    rarity = write_out(rarity.select("c", "g", "freq", useful.alias("useful")), "rarity")
+    same = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
+    if other_nodes:
+        found = tokens(sized).join(rarity.where("useful"), same).select(
+            F.col("column").alias("fc"), F.col("value").alias("fv")).distinct()
+        sized = sized.join(found, (F.col("column") == F.col("fc")) & (F.col("value") == F.col("fv")), "left_semi")
+    ranked = tokens(sized).join(rarity, same)
     listed = ranked.groupBy(*carried).agg(
         F.array_sort(F.collect_list(F.struct("freq", "gram", "useful"))).alias("listed")
     )
@@ -115,6 +143,12 @@ def _score(a: Column, b: Column, dice: float | None, edit: float | None) -> Colu
     return F.greatest(share, edit_similarity(a, b)) if edit is not None else share
 
 
+def _reaches(a: Column, b: Column, min_score: float) -> Column:
+    """Whether either score is reached; bigrams are compared only where the edit distance is too large."""
+    by_edit = edit_similarity(a, b) >= F.lit(min_score)
+    return F.when(by_edit, F.lit(True)).otherwise(bigram_similarity(a, b) >= F.lit(min_score))
+
+
 def _hot_bigrams(postings: DataFrame) -> DataFrame | None:
     """(c, g, blocks) of the bigrams with more than ``BLOCK_VALUES`` values, or None without any."""
     counts = postings.select(F.col("column").alias("c"), F.explode("every.gram").alias("g")).groupBy("c", "g").count()
@@ -139,9 +173,10 @@ def _in_blocks(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, D
 
 
 def _scored(
-    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, other_nodes: bool
+    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, other_nodes: bool, linked: int = 0
 ) -> DataFrame:
     """Pairs ``a < b`` at or above the score, each emitted at its rarest shared bigram only.
+    Pairs of two values of up to ``linked`` bigrams are left out.
 
     First texts without repeated bigrams meet others on the prefixes of both; for the edit score
     all first texts do. First texts with repeats also meet all bigrams of the second for Dice.
@@ -176,6 +211,8 @@ def _scored(
         by_edit = near_enough(least) & like_length & first_shared & (edit_similarity(a, b) >= F.lit(min_score))
     reached = by_dice | by_edit if edit is not None and dice is not None else by_edit if dice is None else by_dice
     candidate = (a < b) & (F.col("node_a") != F.col("node_b")) if other_nodes else a < b
+    if linked:
+        candidate = candidate & (F.greatest("total_a", "total_b") > linked)
     plain, repeated = F.col("repeats_a") == 0, F.col("repeats_a") > 0
     parts = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
     hot = _hot_bigrams(postings)
@@ -266,37 +303,174 @@ def _merged_by_endings(values: DataFrame, min_score: float) -> DataFrame:
     amounts, numbered names) mostly fall into one node this way.
     """
     ending = F.left(F.reverse("value"), F.lit(ENDING)).alias("ending")
-    placed = global_row_index(values.select("column", "value", "node", ending), ["column", "ending"], "place")
-    previous = placed.select(
-        (F.col("place") + 1).alias("p"), F.col("column").alias("pc"), F.col("value").alias("pv"), F.col("node").alias("a"))
-    near = (F.col("column") == F.col("pc")) & (F.col("a") != F.col("node"))
-    pairs = placed.join(previous, (F.col("place") == F.col("p")) & near)
+    ranged = values.select("column", "value", "node", ending).repartitionByRange("column", "ending", "value")
+    # neighbours inside a range partition; the one at its edge is left to the join of bigrams
+    before = Window.partitionBy("part").orderBy("column", "ending", "value")
+    placed = ranged.withColumn("part", F.spark_partition_id()).select(
+        "column", "value", "node", F.lag("column").over(before).alias("pc"), F.lag("value").over(before).alias("pv"),
+        F.lag("node").over(before).alias("a"))
+    pairs = placed.where((F.col("column") == F.col("pc")) & (F.col("a") != F.col("node")))
     scored = pairs.select(F.inline(F.array(F.struct(
-        "a", F.col("node").alias("b"),
-        _score(F.least("pv", "value"), F.greatest("pv", "value"), min_score, min_score).alias("score"),
+        "a", F.col("node").alias("b"), _reaches(F.least("pv", "value"), F.greatest("pv", "value"), min_score).alias("near"),
     ))))
-    found = connected_components(scored.where(F.col("score") >= F.lit(min_score)).select("a", "b").distinct())
+    found = connected_components(scored.where("near").select("a", "b").distinct())
     found = found.withColumnRenamed("node", "linked")
     joined = values.join(found, F.col("node") == F.col("linked"), "left")
     merged = joined.withColumn("node", F.coalesce("component", "node")).select(*values.columns)
-    return write_out(merged, "merged")
-
-
-def _apart(values: DataFrame) -> DataFrame:
-    """The values of columns with more than one node; the others have no links left to find."""
-    columns = values.groupBy(F.col("column").alias("c")).agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    return values.join(columns.where(F.col("least") != F.col("most")), F.col("column") == F.col("c"), "left_semi")
+    # Small in bytes but long to compute with: not merged into few files by size.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_out(merged.repartition(parts, "column", "value"), "merged")
+
+
+def _short_classes(values: DataFrame) -> set[tuple[int, int]]:
+    """(bigrams, repeated ones) of the texts up to ``SHORT`` bigrams; all longer ones are one class."""
+    sized = _sized(values.where(F.char_length("value") <= SHORT + 1)).select("total", "repeats")
+    longer = values.where(F.char_length("value") > SHORT + 1).select(F.lit(SHORT + 1).alias("total"), F.lit(0).alias("repeats"))
+    return set(map(tuple, sized.unionByName(longer).where("total > 0").distinct().collect()))
+
+
+def _wanted(total_a: int, total_b: int, min_score: float) -> int:
+    """How many bigrams must be shared for a Dice score."""
+    return math.ceil((total_a + total_b) * min_score / 2 - _ROUNDING)
+
+
+def _subsets(sized: DataFrame, sizes: dict[tuple[int, int], set[int]]) -> DataFrame:
+    """One row per value and subset of its bigrams of a wanted size, with the subset's hash as key."""
+    wanted = F.array().cast("array<int>")
+    for (total, repeats), ks in sizes.items():
+        here = (F.col("total") == total) & (F.col("repeats") == repeats)
+        wanted = F.when(here, F.array(*[F.lit(k) for k in sorted(ks)]).cast("array<int>")).otherwise(wanted)
+    # the n-th of all subsets holds the bigrams whose bits are set in n
+    subsets = F.aggregate(
+        F.transform("distinct", lambda g: F.xxhash64(g)), F.array(F.lit(0).cast("bigint")),
+        lambda found, h: F.concat(found, F.transform(found, lambda x: x.bitwiseXOR(h))))
+    keyed = F.transform(subsets, lambda x, i: F.struct(F.bit_count(i).cast("int").alias("k"), x.alias("key")))
+    rows = sized.withColumn("sizes", wanted).where(F.size("sizes") > 0)
+    kept = F.filter(keyed, lambda s: F.array_contains("sizes", s["k"]))
+    return rows.select("value", "node", "total", "repeats", F.inline(kept))
+
+
+def _short_links(values: DataFrame, classes: set[tuple[int, int]], min_score: float) -> DataFrame:
+    """Edges that join all texts of one column with ``SHORT`` bigrams at most as Dice links do.
+
+    Texts of A and B bigrams link when they share o = t(A+B)/2, so they meet on a subset of o. Without
+    repeats any two texts that meet there link if their totals are small enough. So if any does, it
+    does with the one of the smallest total: each subset is a star, and its members make no pairs.
+    Texts with repeats count those too, on one side only. They meet on smaller subsets, and their
+    pairs are looked at. Subsets meet by 64-bit hashes; all links are checked on the texts.
+    """
+    short = _sized(values.where(F.char_length("value") <= SHORT + 1))
+    classes = {(total, repeats) for total, repeats in classes if total <= SHORT}
+    plain, repeated = ({c for c in classes if bool(c[1]) is kind} for kind in (False, True))
+    pair = F.struct(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("value_a", "value_b").alias("x"),
+                    F.greatest("value_a", "value_b").alias("y"))
+
+    def checked(met: DataFrame) -> DataFrame:
+        found = met.select(F.inline(F.array(pair))).distinct().select(F.inline(F.array(F.struct(
+            "a", "b", bigram_similarity(F.col("x"), F.col("y")).alias("score")))))
+        return found.where(F.col("score") >= F.lit(min_score)).select("a", "b")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{c}_{name}") for c in rows.columns])
+
+    def sizes(of: set, others: set) -> dict[tuple[int, int], set[int]]:
+        found = {}
+        for total, repeats in of:
+            for total_b, repeats_b in others:
+                k = max(1, _wanted(total, total_b, min_score) - max(repeats, repeats_b))
+                if k <= min(total - repeats, total_b - repeats_b):
+                    found.setdefault((total, repeats), set()).add(k)
+        return found
+
+    same = (F.col("k_a") == F.col("k_b")) & (F.col("key_a") == F.col("key_b"))
+    totals = F.col("total_a") + F.col("total_b")
+    members = _subsets(short.where("repeats = 0"), sizes(plain, plain))
+    hubs = members.groupBy("k", "key").agg(
+        F.min(F.struct("total", "value", "node")).alias("hub"), F.count("*").alias("members"))
+    hubs = hubs.where((F.col("members") > 1) & (F.col("k") >= _ceil(F.col("hub.total") * min_score)))
+    hubs = write_out(hubs.select("k", "key", "hub.total", "hub.value", "hub.node"), "hubs")
+    near = (F.col("value_a") != F.col("value_b")) & (F.col("k_a") >= _ceil(totals * min_score / 2))
+    edges = checked(side(members, "a").join(side(hubs, "b"), same & near))
+    if repeated:
+        own = write_out(_subsets(short.where("repeats > 0"), sizes(repeated, classes)), "repeated")
+        every = _subsets(short, {
+            c: ks for of, others in ((plain, repeated), (repeated, classes)) for c, ks in sizes(of, others).items()})
+        least = _ceil(totals * min_score / 2) - F.greatest("repeats_a", "repeats_b")
+        near = (F.col("value_a") != F.col("value_b")) & (F.col("k_a") == F.greatest(F.lit(1), least))
+        edges = edges.unionByName(checked(side(every, "a").join(side(own, "b"), same & near)))
+    return edges
+
+
+def _main_and_rest(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values of each column's largest node, which need no links among themselves, and all others."""
+    sizes = values.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(F.count("*").alias("size"))
+    largest = write_out(sizes.groupBy("c").agg(F.max_by("m", F.struct("size", "m")).alias("m")), "largest")
+    inside = (F.col("column") == F.col("c")) & (F.col("node") == F.col("m"))
+    return values.join(largest, inside, "left_semi"), write_out(values.join(largest, inside, "left_anti"), "rest")
+
+
+def _near_main(rest: DataFrame, main: DataFrame, min_score: float) -> DataFrame:
+    """Edges between the other nodes and the largest one of their column.
+
+    The first bigrams of each other value, from rare to common in the largest node, are looked up among
+    all bigrams of that node's values. Few other values are broadcast, and the large side stays in place.
+    """
+    large = _sized(main).where("total > 0")
+    freq = write_out(large.select(F.col("column").alias("c"), F.explode("distinct").alias("g")).groupBy("c", "g").agg(
+        F.count("*").alias("freq")), "rarity")
+    sized = _sized(rest).where("total > 0").withColumn(
+        "prefix", F.size("distinct") - _least_shared(min_score, min_score) + 1)
+    carried = ["column", "value", "node", "total", "repeats", "prefix"]
+    tokens = sized.select(*carried, F.explode("distinct").alias("gram")).join(
+        freq, (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g")), "left")
+    listed = tokens.groupBy(*carried).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("listed"))
+    probes = listed.select(
+        *carried, bigram_codes(F.col("value")).alias("bag"), F.transform("listed", lambda x: x["gram"]).alias("grams"),
+        F.posexplode("listed").alias("place", "found"))
+    probes = write_out(probes.where("found.freq > 0").withColumn("gram", F.col("found.gram")).drop("found"), "probes")
+    looked_up = large.select(
+        F.col("column").alias("c"), F.col("value").alias("v"), F.col("node").alias("m"), F.col("total").alias("t"),
+        F.col("repeats").alias("r"), F.col("bag").alias("b"), F.col("distinct").alias("d"), F.explode("distinct").alias("g"))
+    value, v, first = F.col("value"), F.col("v"), F.col("value") < F.col("v")
+    longer = F.greatest(F.char_length(value), F.char_length(v))
+    like_length = F.least(F.char_length(value), F.char_length(v)) >= longer * F.lit(min_score - _ROUNDING)
+    totals = F.col("total") + F.col("t")
+    of_first = F.when(first, F.col("total")).otherwise(F.col("t"))
+    repeated = F.when(first, F.col("repeats")).otherwise(F.col("r")) > 0
+    by_bag = F.when(first, F.size(F.filter("bag", lambda x: F.array_contains("d", x)))).otherwise(
+        F.size(F.filter("b", lambda x: F.array_contains("grams", x))))
+    shared = F.when(repeated, by_bag).otherwise(F.size(F.array_intersect("grams", "d")))
+    enough = (F.lit(2.0) * of_first >= totals * min_score - _ROUNDING) & (
+        F.least(F.lit(1.0), F.lit(2.0) * shared / totals) >= F.lit(min_score))
+    near = enough | (like_length & (edit_similarity(value, v) >= F.lit(min_score)))
+    same = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
+    placed = (F.col("place") < F.col("prefix")) | (F.col("r") > 0)
+    met = looked_up.join(probes, [same, placed & near])
+    return met.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _containment_edges(values: DataFrame) -> DataFrame:
     """A one-character value scores 1.0 with every value that holds the character."""
-    singles = values.where(F.char_length("value") == 1).select(
+    singles = write_out(values.where(F.char_length("value") == 1).select(
         F.col("column").alias("c"), F.col("value").alias("char"), F.col("node").alias("a")
-    )
+    ), "singles")  # few, and mostly none: the size of the files tells Spark so
     holders = values.where(F.char_length("value") > 1).select(
         "column", F.col("node").alias("b"), F.explode(F.array_distinct(F.split("value", ""))).alias("held")
-    ).distinct()
-    return singles.join(holders, (F.col("c") == F.col("column")) & (F.col("char") == F.col("held"))).select("a", "b")
+    )
+    held = (F.col("c") == F.col("column")) & (F.col("char") == F.col("held"))
+    return holders.join(singles, held).select("a", "b").distinct()
+
+
+def _root_edges(values: DataFrame) -> DataFrame:
+    """Nodes with one collapsed root, linked to the smallest of them."""
+    rooted = values.where(F.char_length("value") > 0).select(
+        "node", "column", collapsed_root(F.col("value")).alias("root"))
+    hubs = rooted.groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(
+        F.min("node").alias("a"), F.max("node").alias("last"))
+    hubs = write_out(hubs.where(F.col("a") != F.col("last")).select("c", "r", "a"), "roots")
+    linked = rooted.join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
+    return linked.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
 def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -327,14 +501,11 @@ def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool =
         values = _with_nodes(values, min_score, min_score, min_score)
     edges = _containment_edges(values)
     if ROOT_SCORE >= min_score:
-        rooted = values.where(F.char_length("value") > 0).select(
-            "node", F.col("column"), collapsed_root(F.col("value")).alias("root")
-        ).distinct()
-        hubs = rooted.groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(F.min("node").alias("a"))
-        hubs = rooted.join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
-        edges = edges.unionByName(hubs.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")))
-    near = _scored(_postings(_apart(values), min_score, min_score, True), min_score, min_score, min_score, True)
+        edges = edges.unionByName(_root_edges(values))
+    main, rest = _main_and_rest(values)
+    near = _scored(_postings(rest, min_score, min_score, True), min_score, min_score, min_score, True)
     edges = edges.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    edges = edges.unionByName(_near_main(rest, main, min_score))
     return _group_by_edges(values, edges)
 
 
@@ -352,9 +523,20 @@ def suggest_unification(df: DataFrame, column: str, min_score: float = 0.85) ->
 
     The canonical value is the most frequent, then the smallest. ``unify_values`` takes the result.
     """
-    values = _with_nodes(text_values(df, [column]), min_score, min_score, None)
-    pairs = _scored(_postings(values, min_score, None, True), min_score, None, min_score, True)
-    edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    values = text_values(df, [column])
+    classes = _short_classes(values)
+    if SHORT + 1 in {total for total, _ in classes}:
+        short = F.char_length("value") <= SHORT + 1
+        longer = _with_nodes(values.where(~short), min_score, min_score, None).select("column", "value", "n", "node")
+        own = _node(F.col("column"), F.col("value")).alias("node")
+        values = write_out(longer.unionByName(values.where(short).select("column", "value", "n", own)), "nodes")
+        postings = _postings(values, min_score, None, True, SHORT)
+        pairs = _scored(postings, min_score, None, min_score, True, SHORT)
+        edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        edges = edges.unionByName(_short_links(values, classes, min_score))
+    else:
+        values = values.withColumn("node", _node(F.col("column"), F.col("value")))
+        edges = _short_links(values, classes, min_score)
     groups = _group_by_edges(values, edges.unionByName(_containment_edges(values)))
     return canonical_values(groups).select("canonical", "variant", "n")
 
