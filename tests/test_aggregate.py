@@ -149,3 +149,15 @@ def test_count_distinct_treats_nan_as_null(spark):
     assert got == {"x": 1, "s": 1}
     empty = {r["column"]: r["n_distinct"] for r in aggregate.group_count_distinct(df.limit(0)).collect()}
     assert empty == {"x": 0, "s": 0}
+
+
+def test_distinct_values_of_all_kinds(spark):
+    """Numbers are counted as numbers; their texts, zeros, NaN and nulls are as before."""
+    df = spark.sql("""SELECT * FROM VALUES
+        (1, -0.0D, 'a', 1.50BD, float('0.1')), (1, 0.0D, NULL, 1.50BD, float('nan')),
+        (NULL, double('NaN'), 'a', NULL, NULL), (-7, 1e20D, '1', 2.00BD, float('0.1')) AS t(i, x, s, d, f)""")
+    got = {(r["column"], r["value"], r["n"]) for r in aggregate.distinct_values(df, df.columns).collect()}
+    assert got == {
+        ("i", "1", 2), ("i", "-7", 1), ("x", "0.0", 2), ("x", "1.0E20", 1), ("s", "a", 2), ("s", "1", 1),
+        ("d", "1.50", 2), ("d", "2.00", 1)} | {r for r in got if r[0] == "f"}
+    assert {n for c, _, n in got if c == "f"} == {2}

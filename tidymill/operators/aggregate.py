@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.criteria import criterion_predicate
 from ..functions.numbers import to_number
@@ -138,18 +139,28 @@ def harmonic_mean(df: DataFrame, column: str, name: str = "result") -> DataFrame
 def distinct_values(df: DataFrame, columns: Sequence[str], clean=None) -> DataFrame:
     """(column, value, n) rows: every distinct non-null value of every column, with its count.
 
-    One pass over the columns as (name, value) rows and one two-phase aggregate. Counting many
-    columns by ``count_distinct`` in one aggregate would copy each whole row once per column.
+    The columns become (name, value) rows, whole numbers, doubles and all others apart, with one
+    two-phase aggregate each: numbers are counted as such, and only distinct ones become text. Counting
+    many columns by ``count_distinct`` in one aggregate would copy each whole row once per column.
     """
-    pairs = []
+    kinds: dict[str, list[Column]] = {}
     for c in columns:
-        value = _clean(df, c)
-        if is_float(dtype(df, c)):
+        value, data_type, kind = _clean(df, c), dtype(df, c), "string"
+        if is_float(data_type):
             value = value + F.lit(0.0)  # -0.0 and 0.0 are one value
-        value = value.cast("string")
-        pairs.append(F.struct(F.lit(c).alias("column"), (clean(value) if clean else value).alias("value")))
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+        if clean is None and isinstance(data_type, T.IntegralType):
+            kind = "bigint"
+        elif clean is None and isinstance(data_type, T.DoubleType):
+            kind = "double"
+        value = value.cast(kind)
+        kinds.setdefault(kind, []).append(
+            F.struct(F.lit(c).alias("column"), (clean(value) if clean else value).alias("value")))
+    counted = []
+    for pairs in kinds.values():
+        long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+        counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+        counted.append(counts.select("column", F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, counted)
 
 
 def group_count_distinct(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

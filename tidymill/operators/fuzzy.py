@@ -32,7 +32,7 @@ from ..functions.similarity import bigram_codes, bigram_similarity, collapsed_ro
 from ..functions.text import upper_trim
 from ..scratch import write_out
 from .aggregate import distinct_values
-from .components import connected_components
+from .components import FEW_EDGES, connected_components
 from .order import global_row_index, running_total
 
 # The score of an equal collapsed root and of 2, 3 or 4 equal first characters.
@@ -45,6 +45,9 @@ BLOCK_VALUES = 2000
 # Texts of so many bigrams at most are linked by the sets of bigrams that they share.
 SHORT = 8
 
+# Characters of a text that one row of the search for shared bigrams holds.
+PIECE = 64
+
 # So few values are compared without chaining them first.
 FEW_VALUES = 2000
 # Characters at the end of a value that its place among the endings depends on.
@@ -70,7 +73,9 @@ def _ceil(c: Column) -> Column:
 
 def _sized(values: DataFrame) -> DataFrame:
     """The values with their bigrams, all (``bag``) and ``distinct``, and how many there are and repeat."""
-    sized = values.withColumn("bag", bigram_codes(F.col("value"))).withColumn("distinct", F.array_distinct("bag"))
+    # as a generated row the bigrams are built once, not again in each expression that uses them
+    bags = F.inline(F.array(F.struct(bigram_codes(F.col("value")).alias("bag"))))
+    sized = values.select("*", bags).withColumn("distinct", F.array_distinct("bag"))
     return sized.withColumns({"total": F.size("bag"), "repeats": F.size("bag") - F.size("distinct")})
 
 
@@ -89,17 +94,22 @@ def _least_shared(dice: float | None, edit: float | None) -> Column:
 
 
 def _postings(
-    values: DataFrame, dice: float | None, edit: float | None, other_nodes: bool, linked: int = 0
+    values: DataFrame, dice: float | None, edit: float | None, other_nodes: bool, linked: int = 0, few: bool = False
 ) -> DataFrame:
     """One row per value: its bigrams from rare to common, and those to look for partners by.
 
     A bigram of one value only, or with ``other_nodes`` of one node only, leads to no partner. Values
     of up to ``linked`` bigrams need none among themselves. How often a bigram occurs is written out
     first: a small table, by which values that can have no partner are left out before any is shuffled.
+    For ``few`` values that is spared: any order of the bigrams will do, if it is the same for all.
     """
     sized = _sized(values)
     sized = sized.where("total > 0").withColumn("prefix", F.size("distinct") - _least_shared(dice, edit) + 1)
     carried = ["column", "value", "node", "total", "repeats", "prefix"]
+    if few:
+        all_useful = F.transform(F.array_sort("distinct"), lambda g: F.struct(
+            F.lit(0).cast("bigint").alias("freq"), g.alias("gram"), F.lit(True).alias("useful")))
+        return _placed(sized.select(*carried, all_useful.alias("listed")))
 
     def tokens(rows: DataFrame) -> DataFrame:
         return rows.select(*carried, F.explode("distinct").alias("gram"))
@@ -123,6 +133,12 @@ def _postings(
         F.array_sort(F.collect_list(F.struct("freq", "gram", "useful"))).alias("listed")
     )
 
+    return _placed(listed)
+
+
+def _placed(listed: DataFrame) -> DataFrame:
+    """The postings, written out, from values with their bigrams in order."""
+
     def placed(entry: Column, place: Column) -> Column:
         return F.struct(entry["gram"].alias("gram"), place.alias("place"), entry["useful"].alias("useful"))
 
@@ -173,7 +189,8 @@ def _in_blocks(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, D
 
 
 def _scored(
-    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, other_nodes: bool, linked: int = 0
+    postings: DataFrame, dice: float | None, edit: float | None, min_score: float, other_nodes: bool, linked: int = 0,
+    few: bool = False,
 ) -> DataFrame:
     """Pairs ``a < b`` at or above the score, each emitted at its rarest shared bigram only.
     Pairs of two values of up to ``linked`` bigrams are left out.
@@ -215,7 +232,7 @@ def _scored(
         candidate = candidate & (F.greatest("total_a", "total_b") > linked)
     plain, repeated = F.col("repeats_a") == 0, F.col("repeats_a") > 0
     parts = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    hot = _hot_bigrams(postings)
+    hot = None if few else _hot_bigrams(postings)
 
     def meet(first: Column | None, other: str, test: Column) -> DataFrame:
         left = side("a", "rare") if first is None else side("a", "rare").where(first)
@@ -223,9 +240,9 @@ def _scored(
         if hot is not None:
             left, right = _in_blocks(left, right, hot)
             keys += ["row", "col"]
-        # Small in bytes but long to compute: a fixed number of partitions, not merged by size.
-        left = left.repartition(int(parts), *[f"{k}_a" for k in keys])
-        right = right.repartition(int(parts), *[f"{k}_b" for k in keys])
+        if not few:  # small in bytes but long to compute: a fixed number of partitions, not merged by size
+            left = left.repartition(int(parts), *[f"{k}_a" for k in keys])
+            right = right.repartition(int(parts), *[f"{k}_b" for k in keys])
         same = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys]
         return left.join(right, [*same, candidate & test])
 
@@ -295,6 +312,30 @@ def _with_nodes(values: DataFrame, min_score: float, dice: float | None, edit: f
     return _chained(values, min_score, dice, edit)
 
 
+def _merged(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """The values with linked nodes made one."""
+    found = connected_components(edges, few=FEW_EDGES).withColumnRenamed("node", "linked")
+    joined = values.join(found, F.col("node") == F.col("linked"), "left")
+    return joined.withColumn("node", F.coalesce("component", "node")).select(*values.columns)
+
+
+def _merged_by_first_character(values: DataFrame, min_score: float) -> DataFrame:
+    """Nodes that are linked by values alike but for their first character, or the lack of one, become one.
+
+    These are true links, as one edit is near enough in texts of that length. Values meet on what follows
+    the first character, so nothing is sorted and no pair is made.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tails = F.explode(F.array(F.col("value"), F.expr("substring(value, 2)"))).alias("tail")
+    rows = values.select("column", F.col("node.name").alias("name"), tails)
+    near = F.lit(1.0) - F.lit(1) / (F.char_length("tail") + 1) >= F.lit(min_score)
+    met = rows.where(near).repartition(parts, "column", "tail").groupBy("column", "tail").agg(
+        F.min("name").alias("least"), F.max("name").alias("most"))
+    pairs = met.where("least != most").select("column", "least", "most").distinct()
+    return _merged(values, pairs.select(
+        _node(F.col("column"), F.col("least")).alias("a"), _node(F.col("column"), F.col("most")).alias("b")))
+
+
 def _merged_by_endings(values: DataFrame, min_score: float) -> DataFrame:
     """Nodes that are linked by values next to one another in the order of their endings become one.
 
@@ -313,10 +354,7 @@ def _merged_by_endings(values: DataFrame, min_score: float) -> DataFrame:
     scored = pairs.select(F.inline(F.array(F.struct(
         "a", F.col("node").alias("b"), _reaches(F.least("pv", "value"), F.greatest("pv", "value"), min_score).alias("near"),
     ))))
-    found = connected_components(scored.where("near").select("a", "b").distinct())
-    found = found.withColumnRenamed("node", "linked")
-    joined = values.join(found, F.col("node") == F.col("linked"), "left")
-    merged = joined.withColumn("node", F.coalesce("component", "node")).select(*values.columns)
+    merged = _merged(values, scored.where("near").select("a", "b"))
     # Small in bytes but long to compute with: not merged into few files by size.
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return write_out(merged.repartition(parts, "column", "value"), "merged")
@@ -401,53 +439,74 @@ def _short_links(values: DataFrame, classes: set[tuple[int, int]], min_score: fl
     return edges
 
 
-def _main_and_rest(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The values of each column's largest node, which need no links among themselves, and all others."""
-    sizes = values.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(F.count("*").alias("size"))
-    largest = write_out(sizes.groupBy("c").agg(F.max_by("m", F.struct("size", "m")).alias("m")), "largest")
+def _main_and_rest(values: DataFrame) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """The values of each column's largest node, which need no links among themselves, and all others;
+    whether these are few, and whether there is any value of one character."""
+    sizes = values.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(
+        F.count("*").alias("size"), F.count_if(F.char_length("value") == 1).alias("singles"))
+    largest = write_out(sizes.groupBy("c").agg(
+        F.max_by("m", F.struct("size", "m")).alias("m"), (F.sum("size") - F.max("size")).alias("others"),
+        F.sum("singles").alias("singles")), "largest")
+    others, singles = largest.agg(F.sum("others"), F.sum("singles")).first()
     inside = (F.col("column") == F.col("c")) & (F.col("node") == F.col("m"))
-    return values.join(largest, inside, "left_semi"), write_out(values.join(largest, inside, "left_anti"), "rest")
+    main, rest = (values.join(largest.select("c", "m"), inside, how) for how in ("left_semi", "left_anti"))
+    return main, write_out(rest, "rest"), (others or 0) <= FEW_VALUES, (singles or 0) > 0
+
+
+def _sharing(main: DataFrame, rest: DataFrame) -> DataFrame:
+    """Those of the main values that hold a bigram of the others.
+
+    Plain text functions on pieces of a fixed size, which do not slow down with the length of a text.
+    """
+    bigram = F.substring(F.col("piece"), F.col("i"), F.lit(2)).alias("gram")
+
+    def grams(rows: DataFrame, *kept: str) -> DataFrame:
+        last = F.greatest(F.lit(0), F.char_length("value") - 2) / F.lit(PIECE)
+        pieces = rows.where(F.char_length("value") > 1).select(*kept, "value", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("k"))
+        pieces = pieces.select(*kept, "value", F.substring(F.col("value"), F.col("k") * PIECE + 1, F.lit(PIECE + 1)).alias("piece"))
+        return pieces.select(*kept, "value", "piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - 1)).alias("i")).select(
+            *kept, "value", bigram)
 
+    wanted = grams(rest, "column").select(F.col("column").alias("c"), F.col("gram").alias("g")).distinct()
+    held = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
+    return grams(main, "column", "node").join(wanted, held, "left_semi").select("column", "value", "node").distinct()
 
-def _near_main(rest: DataFrame, main: DataFrame, min_score: float) -> DataFrame:
+
+def _near_main(rest: DataFrame, main: DataFrame, min_score: float, few: bool) -> DataFrame:
     """Edges between the other nodes and the largest one of their column.
 
-    The first bigrams of each other value, from rare to common in the largest node, are looked up among
-    all bigrams of that node's values. Few other values are broadcast, and the large side stays in place.
+    One pass over the largest node finds its values' bigrams that any other value has. The first bigrams
+    of each other value, from rare to common among those, are looked up there. Few other values mostly
+    share no bigram with most of that node, so values without any are left out before.
     """
-    large = _sized(main).where("total > 0")
-    freq = write_out(large.select(F.col("column").alias("c"), F.explode("distinct").alias("g")).groupBy("c", "g").agg(
-        F.count("*").alias("freq")), "rarity")
+    if few:
+        main = _sharing(main, rest)
     sized = _sized(rest).where("total > 0").withColumn(
         "prefix", F.size("distinct") - _least_shared(min_score, min_score) + 1)
+    wanted = sized.select(F.col("column").alias("c"), F.explode("distinct").alias("g")).distinct()
+    large = _sized(main).where("total > 0").select("column", "value", "node", "total", "repeats", F.explode("distinct").alias("gram"))
+    held = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
+    known = write_out(large.join(wanted, held, "left_semi"), "main-grams")
+    freq = known.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(F.count("*").alias("freq"))
     carried = ["column", "value", "node", "total", "repeats", "prefix"]
-    tokens = sized.select(*carried, F.explode("distinct").alias("gram")).join(
-        freq, (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g")), "left")
+    tokens = sized.select(*carried, F.explode("distinct").alias("gram")).join(freq, held, "left")
     listed = tokens.groupBy(*carried).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("listed"))
-    probes = listed.select(
-        *carried, bigram_codes(F.col("value")).alias("bag"), F.transform("listed", lambda x: x["gram"]).alias("grams"),
-        F.posexplode("listed").alias("place", "found"))
-    probes = write_out(probes.where("found.freq > 0").withColumn("gram", F.col("found.gram")).drop("found"), "probes")
-    looked_up = large.select(
+    probes = listed.select(*carried, F.posexplode("listed").alias("place", "found")).where("found.freq > 0")
+    probes = write_out(probes.withColumn("gram", F.col("found.gram")).drop("found"), "probes")
+    looked_up = known.select(
         F.col("column").alias("c"), F.col("value").alias("v"), F.col("node").alias("m"), F.col("total").alias("t"),
-        F.col("repeats").alias("r"), F.col("bag").alias("b"), F.col("distinct").alias("d"), F.explode("distinct").alias("g"))
-    value, v, first = F.col("value"), F.col("v"), F.col("value") < F.col("v")
+        F.col("repeats").alias("r"), F.col("gram").alias("g"))
+    value, v = F.col("value"), F.col("v")
     longer = F.greatest(F.char_length(value), F.char_length(v))
     like_length = F.least(F.char_length(value), F.char_length(v)) >= longer * F.lit(min_score - _ROUNDING)
-    totals = F.col("total") + F.col("t")
-    of_first = F.when(first, F.col("total")).otherwise(F.col("t"))
-    repeated = F.when(first, F.col("repeats")).otherwise(F.col("r")) > 0
-    by_bag = F.when(first, F.size(F.filter("bag", lambda x: F.array_contains("d", x)))).otherwise(
-        F.size(F.filter("b", lambda x: F.array_contains("grams", x))))
-    shared = F.when(repeated, by_bag).otherwise(F.size(F.array_intersect("grams", "d")))
-    enough = (F.lit(2.0) * of_first >= totals * min_score - _ROUNDING) & (
-        F.least(F.lit(1.0), F.lit(2.0) * shared / totals) >= F.lit(min_score))
-    near = enough | (like_length & (edit_similarity(value, v) >= F.lit(min_score)))
-    same = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
+    of_first = F.when(value < v, F.col("total")).otherwise(F.col("t"))
+    enough = F.lit(2.0) * of_first >= (F.col("total") + F.col("t")) * min_score - _ROUNDING
     placed = (F.col("place") < F.col("prefix")) | (F.col("r") > 0)
-    met = looked_up.join(probes, [same, placed & near])
-    return met.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+    met = looked_up.join(probes, [held, placed & (like_length | enough)])
+    near = _reaches(F.least("value", "v"), F.greatest("value", "v"), min_score).alias("near")
+    scored = met.select(F.inline(F.array(F.struct(F.col("node").alias("a"), F.col("m").alias("b"), near))))
+    return scored.where("near").select("a", "b").distinct()
 
 
 def _containment_edges(values: DataFrame) -> DataFrame:
@@ -462,29 +521,42 @@ def _containment_edges(values: DataFrame) -> DataFrame:
     return holders.join(singles, held).select("a", "b").distinct()
 
 
-def _root_edges(values: DataFrame) -> DataFrame:
-    """Nodes with one collapsed root, linked to the smallest of them."""
-    rooted = values.where(F.char_length("value") > 0).select(
-        "node", "column", collapsed_root(F.col("value")).alias("root"))
-    hubs = rooted.groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(
-        F.min("node").alias("a"), F.max("node").alias("last"))
-    hubs = write_out(hubs.where(F.col("a") != F.col("last")).select("c", "r", "a"), "roots")
-    linked = rooted.join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
+def _root_edges(rest: DataFrame, main: DataFrame) -> DataFrame:
+    """Nodes with one collapsed root, linked to the smallest of them outside the largest node.
+
+    The values of the largest node need none among themselves; only those that begin like another
+    value can have its root.
+    """
+    firsts = rest.select(F.col("column").alias("c"), F.left("value", F.lit(1)).alias("first")).distinct()
+    begun = (F.col("column") == F.col("c")) & (F.left("value", F.lit(1)) == F.col("first"))
+    rows = rest.select("column", "value", "node").unionByName(
+        main.select("column", "value", "node").join(firsts, begun, "left_semi"))
+
+    def rooted(values: DataFrame) -> DataFrame:
+        return values.where(F.char_length("value") > 0).select(
+            "node", "column", collapsed_root(F.col("value")).alias("root"))
+
+    hubs = rooted(rest).groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(F.min("node").alias("a"))
+    linked = rooted(rows).join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
     return linked.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """(column, value, n, group): the group is named after its smallest value."""
-    found = connected_components(edges).withColumnRenamed("node", "linked")
-    placed = values.join(found, F.col("node") == F.col("linked"), "left").select(
+def _with_components(values: DataFrame, edges: DataFrame) -> DataFrame:
+    found = connected_components(edges, few=FEW_EDGES).withColumnRenamed("node", "linked")
+    return values.join(found, F.col("node") == F.col("linked"), "left").select(
         "column", "value", "n", F.coalesce("component", "node").alias("component")
     )
+
+
+def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(column, value, n, group): the group is named after its smallest value."""
+    placed = _with_components(values, edges)
     names = placed.groupBy(F.col("component").alias("comp")).agg(F.min("value").alias("group"))
     return placed.join(names, F.col("component") == F.col("comp")).select("column", "value", "n", "group")
 
 
-def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
-    """Groups of texts linked by any of the three scores at or above ``min_score``.
+def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[DataFrame, DataFrame]:
+    """The values with their nodes, and the edges between nodes that join them as the three scores do.
 
     Texts with the same first characters are one node from the start, or else texts similar to
     their neighbour in sorted order. Texts with the same collapsed root are linked to one node
@@ -496,17 +568,33 @@ def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool =
     if length:
         start = F.left("value", F.lit(length))
         name = F.when(F.char_length("value") >= length, start).otherwise(F.col("value"))
-        values = _merged_by_endings(values.withColumn("node", _node(F.col("column"), name)), min_score)
+        values = _merged_by_first_character(values.withColumn("node", _node(F.col("column"), name)), min_score)
     else:
         values = _with_nodes(values, min_score, min_score, min_score)
-    edges = _containment_edges(values)
+    main, rest, few, singles = _main_and_rest(values)
+    if length and not few:
+        values = _merged_by_endings(values, min_score)
+        main, rest, few, singles = _main_and_rest(values)
+    edges = _near_main(rest, main, min_score, few)
+    if singles:
+        edges = edges.unionByName(_containment_edges(values))
     if ROOT_SCORE >= min_score:
-        edges = edges.unionByName(_root_edges(values))
-    main, rest = _main_and_rest(values)
-    near = _scored(_postings(rest, min_score, min_score, True), min_score, min_score, min_score, True)
-    edges = edges.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    edges = edges.unionByName(_near_main(rest, main, min_score))
-    return _group_by_edges(values, edges)
+        edges = edges.unionByName(_root_edges(rest, main))
+    postings = _postings(rest, min_score, min_score, True, 0, few)
+    near = _scored(postings, min_score, min_score, min_score, True, 0, few)
+    return values, edges.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
+def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
+    """Groups of texts linked by any of the three scores at or above ``min_score``."""
+    return _group_by_edges(*_linked(values, min_score, use_prefix))
+
+
+def group_sizes(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
+    """(column, members, n) of each group of ``group_values``, without naming it or its members."""
+    placed = _with_components(*_linked(values, min_score, use_prefix))
+    return placed.groupBy("column", "component").agg(
+        F.count("*").alias("members"), F.sum("n").alias("n")).drop("component")
 
 
 def fuzzy_groups(df: DataFrame, column: str, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
