@@ -136,15 +136,17 @@ def harmonic_mean(df: DataFrame, column: str, name: str = "result") -> DataFrame
     return df.agg(F.coalesce(mean, F.lit(0.0)).alias(name))
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str], clean=None) -> DataFrame:
-    """(column, value, n) rows: every distinct non-null value of every column, with its count.
+def counted_by_kind(df: DataFrame, columns: Sequence[str], clean=None) -> list[DataFrame]:
+    """(column, value, n) of every distinct non-null value: whole numbers, doubles and all others (as
+    text) apart, each in a table of its own.
 
-    The columns become (name, value) rows, whole numbers, doubles and all others apart, with one
-    two-phase aggregate each: numbers are counted as such, and only distinct ones become text. Counting
-    many columns by ``count_distinct`` in one aggregate would copy each whole row once per column.
+    The columns become (number of the column, value) rows with one two-phase aggregate for each kind, so
+    keys of numbers have a fixed size. Counting many columns by ``count_distinct`` in one aggregate would
+    copy each whole row once per column.
     """
     kinds: dict[str, list[Column]] = {}
-    for c in columns:
+    names = F.array(*[F.lit(c) for c in columns])
+    for i, c in enumerate(columns):
         value, data_type, kind = _clean(df, c), dtype(df, c), "string"
         if is_float(data_type):
             value = value + F.lit(0.0)  # -0.0 and 0.0 are one value
@@ -154,13 +156,19 @@ def distinct_values(df: DataFrame, columns: Sequence[str], clean=None) -> DataFr
             kind = "double"
         value = value.cast(kind)
         kinds.setdefault(kind, []).append(
-            F.struct(F.lit(c).alias("column"), (clean(value) if clean else value).alias("value")))
+            F.struct(F.lit(i).alias("i"), (clean(value) if clean else value).alias("value")))
     counted = []
     for pairs in kinds.values():
         long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-        counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-        counted.append(counts.select("column", F.col("value").cast("string").alias("value"), "n"))
-    return reduce(DataFrame.unionByName, counted)
+        counts = long.groupBy("i", "value").agg(F.count("*").alias("n"))
+        counted.append(counts.select(names[F.col("i")].alias("column"), "value", "n"))
+    return counted
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str], clean=None) -> DataFrame:
+    """(column, value, n) rows: every distinct non-null value of every column as text, with its count."""
+    counted = counted_by_kind(df, columns, clean)
+    return reduce(DataFrame.unionByName, [c.withColumn("value", F.col("value").cast("string")) for c in counted])
 
 
 def group_count_distinct(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

@@ -24,13 +24,15 @@ Where only groups are wanted, short texts are linked without any pair: see ``_sh
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.refs import require
 from ..functions.similarity import bigram_codes, bigram_similarity, collapsed_root, edit_similarity
 from ..functions.text import upper_trim
-from ..scratch import write_out
+from ..scratch import in_background, write_out
 from .aggregate import distinct_values
 from .components import FEW_EDGES, connected_components
 from .order import global_row_index, running_total
@@ -319,21 +321,45 @@ def _merged(values: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("node", F.coalesce("component", "node")).select(*values.columns)
 
 
-def _merged_by_first_character(values: DataFrame, min_score: float) -> DataFrame:
-    """Nodes that are linked by values alike but for their first character, or the lack of one, become one.
+def _start_code(start: Column, length: int) -> Column:
+    """The first characters as one whole number up to three of them, else as they are: an aggregate of
+    numbers needs no sort."""
+    if length > 3:
+        return start
+    points = [F.ascii(F.substring(start, i + 1, 1)) + 1 for i in range(length)]
+    points = [F.when(F.char_length(start) > i, p.cast("bigint")).otherwise(F.lit(0)) for i, p in enumerate(points)]
+    return reduce(lambda code, p: code * F.lit(1 << 21) + p, points)
 
-    These are true links, as one edit is near enough in texts of that length. Values meet on what follows
-    the first character, so nothing is sorted and no pair is made.
+
+def _places(values: DataFrame, length: int, min_score: float) -> DataFrame:
+    """(column, start, node, size, singles, n), written out: a small table of the first characters of all values.
+
+    Those with values alike but for their first character, or the lack of one, have one node. These are
+    true links, as one edit is near enough in texts of that length. Values meet on what follows the first
+    character, so nothing is sorted and no pair is made.
     """
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tails = F.explode(F.array(F.col("value"), F.expr("substring(value, 2)"))).alias("tail")
-    rows = values.select("column", F.col("node.name").alias("name"), tails)
+    rows = values.select("column", _start_code(F.left("value", F.lit(length)), length).alias("code"), tails)
     near = F.lit(1.0) - F.lit(1) / (F.char_length("tail") + 1) >= F.lit(min_score)
     met = rows.where(near).repartition(parts, "column", "tail").groupBy("column", "tail").agg(
-        F.min("name").alias("least"), F.max("name").alias("most"))
-    pairs = met.where("least != most").select("column", "least", "most").distinct()
-    return _merged(values, pairs.select(
-        _node(F.col("column"), F.col("least")).alias("a"), _node(F.col("column"), F.col("most")).alias("b")))
+        F.min("code").alias("least"), F.max("code").alias("most"))
+
+    def named(code: str) -> Column:
+        return _node(F.col("column"), F.col(code).cast("string"))
+
+    pairs = met.where("least != most").select(named("least").alias("a"), named("most").alias("b"))
+    starts = values.groupBy("column", F.left("value", F.lit(length)).alias("start")).agg(
+        F.count("*").alias("size"), F.count_if(F.char_length("value") == 1).alias("singles"), F.sum("n").alias("n"))
+    starts = starts.withColumn("code", _start_code(F.col("start"), length)).withColumn("node", named("code")).drop("code")
+    return write_out(_merged(starts, pairs), "places")
+
+
+def _located(values: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """The values that begin as one of the places, with its node."""
+    small = places.select(F.col("column").alias("c"), "start", "node")
+    begun = (F.col("column") == F.col("c")) & (F.left("value", F.lit(length)) == F.col("start"))
+    return values.join(small, begun).select("column", "value", "n", "node")
 
 
 def _merged_by_endings(values: DataFrame, min_score: float) -> DataFrame:
@@ -439,18 +465,27 @@ def _short_links(values: DataFrame, classes: set[tuple[int, int]], min_score: fl
     return edges
 
 
-def _main_and_rest(values: DataFrame) -> tuple[DataFrame, DataFrame, bool, bool]:
+def _main_and_rest(
+    values: DataFrame, places: DataFrame | None = None, length: int | None = None
+) -> tuple[DataFrame, DataFrame, bool, bool]:
     """The values of each column's largest node, which need no links among themselves, and all others;
-    whether these are few, and whether there is any value of one character."""
-    sizes = values.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(
-        F.count("*").alias("size"), F.count_if(F.char_length("value") == 1).alias("singles"))
+    whether these are few, and whether there is any value of one character.
+
+    With ``places`` the nodes are told from these, and each value is looked up once."""
+    sized = values.select("column", "node", F.lit(1).alias("size"), (F.char_length("value") == 1).cast("int").alias(
+        "singles")) if places is None else places
+    sizes = sized.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(
+        F.sum("size").alias("size"), F.sum("singles").alias("singles"))
     largest = write_out(sizes.groupBy("c").agg(
         F.max_by("m", F.struct("size", "m")).alias("m"), (F.sum("size") - F.max("size")).alias("others"),
         F.sum("singles").alias("singles")), "largest")
-    others, singles = largest.agg(F.sum("others"), F.sum("singles")).first()
+    counts = largest.select("others", "singles").collect()  # one row for each column
     inside = (F.col("column") == F.col("c")) & (F.col("node") == F.col("m"))
-    main, rest = (values.join(largest.select("c", "m"), inside, how) for how in ("left_semi", "left_anti"))
-    return main, write_out(rest, "rest"), (others or 0) <= FEW_VALUES, (singles or 0) > 0
+    noded = values if places is None else places
+    main, rest = (noded.join(largest.select("c", "m"), inside, how) for how in ("left_semi", "left_anti"))
+    if places is not None:
+        main, rest = (_located(values, part, length) for part in (main, rest))
+    return main, write_out(rest, "rest"), sum(r[0] for r in counts) <= FEW_VALUES, any(r[1] for r in counts)
 
 
 def _sharing(main: DataFrame, rest: DataFrame) -> DataFrame:
@@ -467,6 +502,11 @@ def _sharing(main: DataFrame, rest: DataFrame) -> DataFrame:
         return pieces.select(*kept, "value", "piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - 1)).alias("i")).select(
             *kept, "value", bigram)
 
+    # One text a column, of the characters of few values: most main values are left out by it at once.
+    held_chars = rest.select(F.col("column").alias("cc"), F.explode(F.split("value", "")).alias("char")).groupBy("cc").agg(
+        F.concat_ws("", F.collect_set("char")).alias("chars"))
+    holds = (F.col("column") == F.col("cc")) & F.expr("translate(value, chars, '') != value")
+    main = main.join(held_chars, holds, "left_semi")
     wanted = grams(rest, "column").select(F.col("column").alias("c"), F.col("gram").alias("g")).distinct()
     held = (F.col("column") == F.col("c")) & (F.col("gram") == F.col("g"))
     return grams(main, "column", "node").join(wanted, held, "left_semi").select("column", "value", "node").distinct()
@@ -493,7 +533,9 @@ def _near_main(rest: DataFrame, main: DataFrame, min_score: float, few: bool) ->
     listed = tokens.groupBy(*carried).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("listed"))
     probes = listed.select(*carried, F.posexplode("listed").alias("place", "found")).where("found.freq > 0")
-    probes = write_out(probes.withColumn("gram", F.col("found.gram")).drop("found"), "probes")
+    probes = probes.withColumn("gram", F.col("found.gram")).drop("found")
+    if not few:
+        probes = write_out(probes, "probes")
     looked_up = known.select(
         F.col("column").alias("c"), F.col("value").alias("v"), F.col("node").alias("m"), F.col("total").alias("t"),
         F.col("repeats").alias("r"), F.col("gram").alias("g"))
@@ -506,7 +548,7 @@ def _near_main(rest: DataFrame, main: DataFrame, min_score: float, few: bool) ->
     met = looked_up.join(probes, [held, placed & (like_length | enough)])
     near = _reaches(F.least("value", "v"), F.greatest("value", "v"), min_score).alias("near")
     scored = met.select(F.inline(F.array(F.struct(F.col("node").alias("a"), F.col("m").alias("b"), near))))
-    return scored.where("near").select("a", "b").distinct()
+    return scored.where("near").select("a", "b")
 
 
 def _containment_edges(values: DataFrame) -> DataFrame:
@@ -538,14 +580,13 @@ def _root_edges(rest: DataFrame, main: DataFrame) -> DataFrame:
 
     hubs = rooted(rest).groupBy(F.col("column").alias("c"), F.col("root").alias("r")).agg(F.min("node").alias("a"))
     linked = rooted(rows).join(hubs, (F.col("column") == F.col("c")) & (F.col("root") == F.col("r")))
-    return linked.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    return linked.select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b"))
 
 
 def _with_components(values: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges, few=FEW_EDGES).withColumnRenamed("node", "linked")
-    return values.join(found, F.col("node") == F.col("linked"), "left").select(
-        "column", "value", "n", F.coalesce("component", "node").alias("component")
-    )
+    joined = values.join(found, F.col("node") == F.col("linked"), "left")
+    return joined.withColumn("component", F.coalesce("component", "node")).drop("node", "linked")
 
 
 def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -555,8 +596,9 @@ def _group_by_edges(values: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(names, F.col("component") == F.col("comp")).select("column", "value", "n", "group")
 
 
-def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[DataFrame, DataFrame]:
-    """The values with their nodes, and the edges between nodes that join them as the three scores do.
+def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The values with their nodes, the edges between nodes that join them as the three scores do, and rows
+    (column, node, size, n) that count the values of the nodes, several for one node.
 
     Texts with the same first characters are one node from the start, or else texts similar to
     their neighbour in sorted order. Texts with the same collapsed root are linked to one node
@@ -566,35 +608,35 @@ def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[Data
         raise ValueError("min_score must be above 2/3: below it similar texts may share no bigram")
     length = next((k for k, s in PREFIX_SCORES.items() if use_prefix and s >= min_score), None)
     if length:
-        start = F.left("value", F.lit(length))
-        name = F.when(F.char_length("value") >= length, start).otherwise(F.col("value"))
-        values = _merged_by_first_character(values.withColumn("node", _node(F.col("column"), name)), min_score)
-    else:
-        values = _with_nodes(values, min_score, min_score, min_score)
-    main, rest, few, singles = _main_and_rest(values)
-    if length and not few:
-        values = _merged_by_endings(values, min_score)
+        places = _places(values, length, min_score)
+        main, rest, few, singles = _main_and_rest(values, places, length)
+        values, sizes = _located(values, places, length), places
+    if not length or not few:
+        values = _merged_by_endings(values, min_score) if length else _with_nodes(values, min_score, min_score, min_score)
         main, rest, few, singles = _main_and_rest(values)
-    edges = _near_main(rest, main, min_score, few)
-    if singles:
-        edges = edges.unionByName(_containment_edges(values))
-    if ROOT_SCORE >= min_score:
-        edges = edges.unionByName(_root_edges(rest, main))
-    postings = _postings(rest, min_score, min_score, True, 0, few)
-    near = _scored(postings, min_score, min_score, min_score, True, 0, few)
-    return values, edges.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+        sizes = values.select("column", "node", F.lit(1).alias("size"), "n")
+    with ThreadPoolExecutor(1) as pool:  # the others are compared with one another beside the search in the main values
+        found = in_background(pool, values.sparkSession, lambda: _scored(
+            _postings(rest, min_score, min_score, True, 0, few), min_score, min_score, min_score, True, 0, few))
+        edges = _near_main(rest, main, min_score, few)
+        if singles:
+            edges = edges.unionByName(_containment_edges(values))
+        if ROOT_SCORE >= min_score:
+            edges = edges.unionByName(_root_edges(rest, main))
+        near = found.result().select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return values, edges.unionByName(near), sizes
 
 
 def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
     """Groups of texts linked by any of the three scores at or above ``min_score``."""
-    return _group_by_edges(*_linked(values, min_score, use_prefix))
+    return _group_by_edges(*_linked(values, min_score, use_prefix)[:2])
 
 
 def group_sizes(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
     """(column, members, n) of each group of ``group_values``, without naming it or its members."""
-    placed = _with_components(*_linked(values, min_score, use_prefix))
-    return placed.groupBy("column", "component").agg(
-        F.count("*").alias("members"), F.sum("n").alias("n")).drop("component")
+    _, edges, sizes = _linked(values, min_score, use_prefix)
+    return _with_components(sizes, edges).groupBy("column", "component").agg(
+        F.sum("size").alias("members"), F.sum("n").alias("n")).drop("component")
 
 
 def fuzzy_groups(df: DataFrame, column: str, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
