@@ -24,8 +24,9 @@ Where only groups are wanted, short texts are linked without any pair: see ``_sh
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -326,7 +327,7 @@ def _start_code(start: Column, length: int) -> Column:
     numbers needs no sort."""
     if length > 3:
         return start
-    points = [F.ascii(F.substring(start, i + 1, 1)) + 1 for i in range(length)]
+    points = [F.ascii(F.substring(start, i + 1, 1) if i else start) + 1 for i in range(length)]
     points = [F.when(F.char_length(start) > i, p.cast("bigint")).otherwise(F.lit(0)) for i, p in enumerate(points)]
     return reduce(lambda code, p: code * F.lit(1 << 21) + p, points)
 
@@ -340,7 +341,9 @@ def _places(values: DataFrame, length: int, min_score: float) -> DataFrame:
     """
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tails = F.explode(F.array(F.col("value"), F.expr("substring(value, 2)"))).alias("tail")
-    rows = values.select("column", _start_code(F.left("value", F.lit(length)), length).alias("code"), tails)
+    # the code in a step of its own, once a value and not once a tail
+    coded = values.select("column", "value", _start_code(F.left("value", F.lit(length)), length).alias("code"))
+    rows = coded.select("column", "code", tails)
     near = F.lit(1.0) - F.lit(1) / (F.char_length("tail") + 1) >= F.lit(min_score)
     met = rows.where(near).repartition(parts, "column", "tail").groupBy("column", "tail").agg(
         F.min("code").alias("least"), F.max("code").alias("most"))
@@ -615,16 +618,25 @@ def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[Data
         values = _merged_by_endings(values, min_score) if length else _with_nodes(values, min_score, min_score, min_score)
         main, rest, few, singles = _main_and_rest(values)
         sizes = values.select("column", "node", F.lit(1).alias("size"), "n")
-    with ThreadPoolExecutor(1) as pool:  # the others are compared with one another beside the search in the main values
-        found = in_background(pool, values.sparkSession, lambda: _scored(
-            _postings(rest, min_score, min_score, True, 0, few), min_score, min_score, min_score, True, 0, few))
-        edges = _near_main(rest, main, min_score, few)
-        if singles:
-            edges = edges.unionByName(_containment_edges(values))
-        if ROOT_SCORE >= min_score:
-            edges = edges.unionByName(_root_edges(rest, main))
-        near = found.result().select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return values, edges.unionByName(near), sizes
+
+    def among_others() -> DataFrame:
+        postings = _postings(rest, min_score, min_score, True, 0, few)
+        near = _scored(postings, min_score, min_score, min_score, True, 0, few)
+        return near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    kinds = [among_others]
+    if ROOT_SCORE >= min_score:
+        kinds.append(lambda: _root_edges(rest, main))
+    if singles:
+        kinds.append(lambda: _containment_edges(values))
+
+    def written(edges: Callable[[], DataFrame]) -> DataFrame:
+        return write_out(edges().distinct(), "edges")
+
+    with ThreadPoolExecutor(len(kinds)) as pool:  # edges of one kind need no others
+        found = [in_background(pool, values.sparkSession, partial(written, kind)) for kind in kinds]
+        edges = written(lambda: _near_main(rest, main, min_score, few))
+        return values, reduce(DataFrame.unionByName, [edges, *[f.result() for f in found]]), sizes
 
 
 def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
