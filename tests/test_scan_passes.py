@@ -69,3 +69,12 @@ def test_kept_digests_change_no_count(spark, tmp_path):
         assert tuple(spark.range(1).select(*counts).first()) == (6, 3)
     unlike = spark.createDataFrame([(None, "x"), ("x", None), (None, None)], "a string, b string")
     assert unlike.select(*copies.digest_columns(unlike)).distinct().count() == 3
+
+
+def test_main_values_that_share_a_bigram_are_kept(spark):
+    """Texts without any character of the others are left out; those with one are looked at by bigrams."""
+    main = spark.createDataFrame(
+        [("c", v, "m") for v in ("x😀y", "😀", "ab.", "ba", "123", "")] + [("d", "ab", "m")],
+        "column string, value string, node string")
+    rest = spark.createDataFrame([("c", v) for v in ("😀y", "b.", "")], "column string, value string")
+    assert {tuple(r) for r in fuzzy._sharing(main, rest).collect()} == {("c", "x😀y", "m"), ("c", "ab.", "m")}
