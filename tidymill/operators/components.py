@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..scratch import write_out
 
 # With so few edges the rounds take longer than their work: the driver follows the edges instead.
 FEW_EDGES = 10_000
+# So few rows become part of a plan; more are written, as plans are copied and printed.
+LISTED_ROWS = 500
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -61,10 +63,16 @@ def _followed(edges: list) -> list[tuple]:
     return [(node, root(node)) for node in {n for edge in edges for n in edge}]
 
 
-def _plain(node):
+def plain_value(node):
     return node.asDict(recursive=True) if isinstance(node, Row) else node
 
 
+def small_table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A table of few rows that the driver knows, as part of the plan; no job and no file is needed."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return spark.sql("SELECT 1").select(F.inline(listed))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """Rows ``(node, component)`` for every node that has an edge; the component is named after
     its smallest node.
@@ -79,9 +87,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int
         known = current.limit(few + 1).collect()
         if len(known) <= few:
             kind = current.schema["u"].dataType.simpleString()
-            found = json.dumps([{"node": _plain(n), "component": _plain(c)} for n, c in _followed(known)])
-            rows = F.from_json(F.lit(found), f"array<struct<node:{kind},component:{kind}>>")
-            return write_out(edges.sparkSession.range(1, numPartitions=1).select(F.inline(rows)), "components")
+            found = [{"node": plain_value(n), "component": plain_value(c)} for n, c in _followed(known)]
+            rows = small_table(edges.sparkSession, found, f"node:{kind},component:{kind}")
+            return rows if len(found) <= LISTED_ROWS else write_out(rows, "components")
     while not _is_star_forest(current):
         current = write_out(_small_star(_large_star(current).distinct()), "components")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -35,7 +35,7 @@ from ..functions.similarity import bigram_codes, bigram_similarity, collapsed_ro
 from ..functions.text import upper_trim
 from ..scratch import in_background, write_out
 from .aggregate import distinct_values
-from .components import FEW_EDGES, connected_components
+from .components import FEW_EDGES, connected_components, plain_value, small_table
 from .order import global_row_index, running_total
 
 # The score of an equal collapsed root and of 2, 3 or 4 equal first characters.
@@ -479,16 +479,19 @@ def _main_and_rest(
         "singles")) if places is None else places
     sizes = sized.groupBy(F.col("column").alias("c"), F.col("node").alias("m")).agg(
         F.sum("size").alias("size"), F.sum("singles").alias("singles"))
-    largest = write_out(sizes.groupBy("c").agg(
+    largest = sizes.groupBy("c").agg(
         F.max_by("m", F.struct("size", "m")).alias("m"), (F.sum("size") - F.max("size")).alias("others"),
-        F.sum("singles").alias("singles")), "largest")
-    counts = largest.select("others", "singles").collect()  # one row for each column
+        F.sum("singles").alias("singles"))
+    counts = largest.collect()  # one row for each column
+    kind = largest.schema["m"].dataType.simpleString()
+    largest = small_table(values.sparkSession, [{"c": r["c"], "m": plain_value(r["m"])} for r in counts], f"c:string,m:{kind}")
     inside = (F.col("column") == F.col("c")) & (F.col("node") == F.col("m"))
     noded = values if places is None else places
-    main, rest = (noded.join(largest.select("c", "m"), inside, how) for how in ("left_semi", "left_anti"))
+    main, rest = (noded.join(largest, inside, how) for how in ("left_semi", "left_anti"))
     if places is not None:
         main, rest = (_located(values, part, length) for part in (main, rest))
-    return main, write_out(rest, "rest"), sum(r[0] for r in counts) <= FEW_VALUES, any(r[1] for r in counts)
+    few, singles = sum(r["others"] for r in counts) <= FEW_VALUES, any(r["singles"] for r in counts)
+    return main, write_out(rest, "rest"), few, singles
 
 
 def _sharing(main: DataFrame, rest: DataFrame) -> DataFrame:
@@ -533,7 +536,9 @@ def _near_main(rest: DataFrame, main: DataFrame, min_score: float, few: bool) ->
     freq = known.groupBy(F.col("column").alias("c"), F.col("gram").alias("g")).agg(F.count("*").alias("freq"))
     carried = ["column", "value", "node", "total", "repeats", "prefix"]
     tokens = sized.select(*carried, F.explode("distinct").alias("gram")).join(freq, held, "left")
-    listed = tokens.groupBy(*carried).agg(
+    # Small in bytes but long to compare: a fixed number of partitions, not merged by size.
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = tokens.repartition(parts, "column", "value").groupBy(*carried).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("listed"))
     probes = listed.select(*carried, F.posexplode("listed").alias("place", "found")).where("found.freq > 0")
     probes = probes.withColumn("gram", F.col("found.gram")).drop("found")
@@ -624,7 +629,7 @@ def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[Data
         near = _scored(postings, min_score, min_score, min_score, True, 0, few)
         return near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    kinds = [among_others]
+    kinds = [lambda: _near_main(rest, main, min_score, few), among_others]  # the longest first
     if ROOT_SCORE >= min_score:
         kinds.append(lambda: _root_edges(rest, main))
     if singles:
@@ -635,8 +640,7 @@ def _linked(values: DataFrame, min_score: float, use_prefix: bool) -> tuple[Data
 
     with ThreadPoolExecutor(len(kinds)) as pool:  # edges of one kind need no others
         found = [in_background(pool, values.sparkSession, partial(written, kind)) for kind in kinds]
-        edges = written(lambda: _near_main(rest, main, min_score, few))
-        return values, reduce(DataFrame.unionByName, [edges, *[f.result() for f in found]]), sizes
+        return values, reduce(DataFrame.unionByName, [f.result() for f in found]), sizes
 
 
 def group_values(values: DataFrame, min_score: float = 0.72, use_prefix: bool = True) -> DataFrame:
