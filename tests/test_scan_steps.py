@@ -55,3 +55,14 @@ def test_few_components_become_part_of_the_plan(spark, monkeypatch):
         assert got._jdf.queryExecution().analyzed().toString().lower().count("relation [") - got._jdf.queryExecution().analyzed().toString().count("OneRowRelation [") == scans
     assert components.small_table(spark, [], "x:int").count() == 0
     assert components.small_table(spark, [{"x": 1}], "x:int").select(F.sum("x")).first()[0] == 1
+
+
+def test_texts_of_numbers_count_as_before_without_being_tried(spark):
+    """Digits are upper, lower and title case alike and hold no inner spaces, also before line ends."""
+    cells = ["12", "-1,5", " 7\r\n", "7.5  ", "8\x85\x85", "7  7", "7\n\n7", "AB", "ab", "Ab  C", "٣", "1.", ""]
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    got = profile.column_metrics(df, text=True).first()
+    texts = [c.strip() for c in cells]
+    assert got["n_numeric"] == 5 and got["n_inner"] == 3
+    assert got["n_upper"] == sum(t == t.upper() for t in texts) and got["n_lower"] == sum(t == t.lower() for t in texts)
+    assert got["n_title"] == sum(t == t.title() for t in texts)
